@@ -9,11 +9,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import workers_find_engine
+
 #: ASCII white space; bytes.split() with no argument cuts at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    workers_find_engine(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
