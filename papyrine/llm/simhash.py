@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import shared_dir
 
@@ -55,15 +56,15 @@ def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and `fp`, the fingerprint's bits as a (signed) long."""
+    """doc_id, `text_hash` (of the text as it is) and `fp`, the fingerprint's bits as a (signed) long."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(x, shingle) for x in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64), pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64), pa.int64())], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
 
 
 # --- the index of a task ---------------------------------------------------------------------------------------------
@@ -266,13 +267,25 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, share: int = 2, cell: int = 4096) -> DataFrame:
-    """doc_id, fp and component_id (the least doc_id that links reach) of every row of docs."""
+    """doc_id, text_hash, fp, root (a fingerprint that stands for the component) and component_id (the least doc_id that links
+    reach) of every row of docs."""
     shared_dir(docs.sparkSession)
     prints = fingerprints(docs, shingle).checkpoint()
     codes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(similar_links(codes.select("fp"), bits, share, cell))
-    # of a linked fingerprint, the least id of its component; of any other, its own rows' least id
     rooted = codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(members, "fp").select("doc_id", "fp", "component_id")
+    members = rooted.join(named, "root").select("fp", "root", "component_id")
+    return prints.join(members, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def representatives(docs: DataFrame, **how) -> DataFrame:
+    """One row of docs, with all its columns, for each component: that of the least doc_id (null last), then of the least hash of
+    its text; of equal rows any one. Only ids and hashes are grouped; the texts move once, to be joined with the rows that stay."""
+    rows = near_duplicates(docs, **how).groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")).alias("x")).select("x.doc_id", "x.text_hash", "x.n")
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_hash"))
+    kept = whole.join(first, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")))
+    once, again = kept.where("n = 1"), kept.where("n > 1")
+    place = F.row_number().over(W.partitionBy("own_id", "own_hash").orderBy("own_hash"))
+    return once.select("row").unionAll(again.withColumn("place", place).where("place = 1").select("row")).select("row.*")
