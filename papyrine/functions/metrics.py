@@ -176,7 +176,7 @@ def matched_teds(references: list, predictions: list) -> list[float]:
     return out
 
 
-@vectorised("struct<teds:double,structure:double>")
+@vectorised("struct<teds:double,structure:double>", once=True)
 def _teds(reference: pd.Series, prediction: pd.Series) -> pd.DataFrame:
     pairs = [(tables.largest_table(a), tables.largest_table(b)) for a, b in zip(reference, prediction, strict=True)]
     return pd.DataFrame([(teds(a, b), teds(a, b, True)) for a, b in pairs], columns=["teds", "structure"], index=reference.index, dtype=float)

@@ -209,7 +209,7 @@ def _of_markdown(text: pd.Series) -> pd.Series:
     return text.map(from_markdown)
 
 
-@vectorised("struct<n_rows:int,n_cols:int,n_cells:int,span_count:int,rectangular:boolean,empty_ratio:double,text:string,html:string,markdown:string,rendered:string>")
+@vectorised("struct<n_rows:int,n_cols:int,n_cells:int,span_count:int,rectangular:boolean,empty_ratio:double,text:string,html:string,markdown:string,rendered:string>", once=True)
 def _described(markup: pd.Series) -> pd.DataFrame:
     none = {"n_rows": 0, "n_cols": 0, "n_cells": 0, "span_count": 0, "rectangular": False, "empty_ratio": 1.0, "text": "", "html": None, "markdown": None, "rendered": None}
     rows = [largest_table(x) for x in markup]

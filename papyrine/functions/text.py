@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -49,6 +50,8 @@ def vowelled() -> str:
 
 TONED_1, TONED_2 = with_marks(TONES, 1), with_marks(TONES, 2)
 VOWEL = f"[{vowelled()}]"
+#: The same for Java, quick on ASCII.
+VOWEL_FAST = rf"[AEIOUYaeiouy]|[^\x00-\x7F&&[{VOWEL}]]"
 
 
 def _normal_form(form: str):
@@ -80,29 +83,50 @@ def normalize(c: Column) -> Column:
     return strip(F.regexp_replace(F.replace(nfc(c), F.lit("­"), F.lit("")), SPACE_RUN, " "))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, with value worked out once however often body uses it (branches of conditions don't share subexpressions)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def of_class(c: Column, signs: str) -> Column:
+    """The number of characters of a class; runs are cut out at once, which is faster than collecting single matches."""
+    return F.length(c) - F.length(F.regexp_replace(c, f"[{signs}]+", ""))
+
+
+def only(c: Column, signs: str) -> Column:
+    return F.regexp_replace(c, f"[^{signs}]+", "")
+
+
+def beyond_ascii(c: Column) -> Column:
+    """What classes of many letters have to look at."""
+    return F.regexp_replace(c, r"[\x00-\x7F]+", "")
+
+
 def letters(c: Column) -> Column:
-    return count(c, r"\p{L}")
+    return of_class(c, r"\p{L}")
 
 
 def foreign_script_ratio(c: Column) -> Column:
     """TXT-03."""
-    n = letters(c)
-    foreign = n - count(c, rf"[\p{{L}}&&[{EXPECTED}]]")
-    return F.when((n >= 20) & (foreign >= 0.05 * n), foreign / n).otherwise(0.0)
+
+    def share(x: Column) -> Column:
+        return F.when((x.n >= 20) & (x.foreign >= 0.05 * x.n), x.foreign / x.n).otherwise(0.0)
+
+    return let(F.struct(letters(c).alias("n"), letters(F.regexp_replace(c, f"[{EXPECTED}]+", "")).alias("foreign")), share)
 
 
 def legacy_encoding_ratio(c: Column) -> Column:
     """TXT-04."""
-    n = count(c, r"[\p{L}\x{00A1}-\x{00FF}]")
-    odd = count(c, r"[\x{00A1}-\x{00FF}]") - count(c, f"[{VI_LATIN1}{LATIN1_SYMBOLS}]")
-    share = (odd + 2 * count(c, f"[a-zA-Z][{IN_WORD_SYMBOLS}][a-zA-Z]")) / n
-    return F.when(n >= 20, F.when(share >= 0.08, share).otherwise(0.0)).otherwise(0.0)
+    latin1 = only(beyond_ascii(c), r"\x{00A1}-\x{00FF}")
+    odd = F.length(F.regexp_replace(latin1, f"[{VI_LATIN1}{LATIN1_SYMBOLS}]+", ""))
+    counts = F.struct(of_class(c, r"\p{L}\x{00A1}-\x{00FF}").alias("n"), (odd + 2 * count(c, f"[a-zA-Z][{IN_WORD_SYMBOLS}][a-zA-Z]")).alias("odd"))
+    return let(counts, lambda x: F.when((x.n >= 20) & (x.odd / F.greatest(x.n, F.lit(1)) >= 0.08), x.odd / F.greatest(x.n, F.lit(1))).otherwise(0.0))
 
 
 def garbled_ratio(c: Column) -> Column:
     """TXT-02."""
     rest = F.regexp_replace(c, CID, "")
-    bad = count(rest, BROKEN) + F.length(c) - F.length(rest)
+    bad = of_class(rest, BROKEN[1:-1]) + F.length(c) - F.length(rest)
     return F.when(F.length(c) == 0, 0.0).otherwise(F.least(F.lit(1.0), bad / F.length(c) + legacy_encoding_ratio(c) + foreign_script_ratio(c)))
 
 
@@ -112,52 +136,69 @@ def is_legacy_font(c: Column) -> Column:
 
 
 def _tone_marks(c: Column) -> Column:
-    return count(c, f"[{TONES}{TONED_1}]") + 2 * count(c, f"[{TONED_2}]") + count(c, f"[{VI_MARKS}]")
+    return let(beyond_ascii(c), lambda x: of_class(x, f"{TONES}{TONED_1}") + 2 * of_class(x, TONED_2) + of_class(x, VI_MARKS))
+
+
+def _scripts(c: Column) -> Column:
+    """Letters of CJK and of other scripts, and tone marks."""
+    cjk = letters(only(beyond_ascii(c), CJK))
+    return F.struct(cjk.alias("cjk"), (letters(c) - cjk).alias("other"), _tone_marks(c).alias("marks"))
 
 
 def looks_vietnamese(c: Column) -> Column:
     """TXT-06; on composed or decomposed text, without a normal form."""
-    plain = letters(c) - count(c, rf"[\p{{L}}&&[{CJK}]]")
-    return _tone_marks(c) >= F.greatest(F.lit(2.0), 0.02 * plain)
+    return let(_scripts(c), lambda x: x.marks >= F.greatest(F.lit(2.0), 0.02 * x.other))
 
 
 def detect_language(c: Column, languages: tuple[str, ...] = ("vi", "en", "ja"), least: int = 12) -> Column:
     """TXT-07 on NFC text."""
-    cjk = count(c, rf"[\p{{L}}&&[{CJK}]]")
-    latin = letters(c) - cjk
-    is_vi = F.lit("vi" in languages) & (_tone_marks(c) >= F.greatest(F.lit(2.0), 0.02 * latin))
-    other = F.when(is_vi, "vi").otherwise("en" if "en" in languages else "vi")
-    ja = 2 * cjk if "ja" in languages else F.lit(-1)
-    best = F.when((latin > 0) & (latin > ja), other).when(ja >= 0, F.lit("ja"))
-    return F.when(2 * cjk + latin >= least, F.when(best.isin(*languages), best))
+
+    def choose(x: Column) -> Column:
+        is_vi = F.lit("vi" in languages) & (x.marks >= F.greatest(F.lit(2.0), 0.02 * x.other))
+        latin = F.when(is_vi, "vi").otherwise("en" if "en" in languages else "vi")
+        ja = 2 * x.cjk if "ja" in languages else F.lit(-1)
+        best = F.when((x.other > 0) & (x.other > ja), latin).when(ja >= 0, F.lit("ja"))
+        return F.when(2 * x.cjk + x.other >= least, F.when(best.isin(*languages), best))
+
+    return let(_scripts(c), choose)
 
 
 def dropout_ratio(c: Column) -> Column:
     """TXT-08 on NFC text: the share of Vietnamese words without a vowel."""
-    words = F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
     upper = lambda t: (F.upper(t) == t) & (F.lower(t) != t)
-    vowel = lambda t: t.rlike(VOWEL)
-    bad = F.size(F.filter(words, lambda t: ~upper(t) & ~vowel(t)))
-    capitals = F.filter(words, lambda t: upper(t) & (F.length(t) >= 2))
-    titled = F.size(F.filter(capitals, vowel)) >= 3
-    lost = F.when(titled, F.size(F.filter(capitals, lambda t: ~vowel(t) & ~t.isin(*VI_ABBREVIATIONS)))).otherwise(0)
-    n = F.size(words)
-    share = (bad + lost) / n
-    share = F.when((n >= 20) & ~c.rlike(r"[\x{1EA0}-\x{1EF9}]"), F.greatest(share, F.lit(0.5))).otherwise(share)
-    return F.when(looks_vietnamese(c) & (n >= 3), share).otherwise(0.0)
+    vowel = lambda t: t.rlike(VOWEL_FAST)
+
+    def share(x: Column) -> Column:
+        capitals = F.filter(x.dry, lambda t: upper(t) & (F.length(t) >= 2) & ~t.isin(*VI_ABBREVIATIONS))
+        bad = F.size(F.filter(x.dry, lambda t: ~upper(t))) + F.when(x.titled, F.size(capitals)).otherwise(0)
+        ratio = bad / F.greatest(x.n, F.lit(1))
+        return F.when((x.n >= 20) & ~x.dots, F.greatest(ratio, F.lit(0.5))).otherwise(ratio)
+
+    def counts(words: Column) -> Column:
+        titled = F.size(F.filter(words, lambda t: upper(t) & (F.length(t) >= 2) & vowel(t))) >= 3
+        return F.struct(F.filter(words, lambda t: ~vowel(t)).alias("dry"), titled.alias("titled"), F.size(words).alias("n"), c.rlike(r"[\x{1EA0}-\x{1EF9}]").alias("dots"))
+
+    made = let(F.regexp_extract_all(c, F.lit(WORD), F.lit(0)), lambda w: let(counts(w), lambda x: F.when(x.n >= 3, share(x)).otherwise(0.0)))
+    return F.when(looks_vietnamese(c), made).otherwise(0.0)
 
 
 def confirmed_language(c: Column) -> Column:
     """TXT-09 on NFC text."""
     low = F.lower(c)
-    cjk, kana = count(c, r"[\x{3040}-\x{9FFF}]"), count(c, r"[\x{3040}-\x{30FF}]")
-    latin = count(low, r"[\p{L}&&[\x{0000}-\x{2E7F}]]")
+    wide = beyond_ascii(low)
     words = F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0))
-    english = F.size(F.filter(words, lambda w: w.isin(*EN_WORDS)))
-    vi_letters = count(low, f"[{VI_ONLY}]")
+    english = let(words, lambda w: F.struct(F.size(w).alias("n"), F.size(F.filter(w, lambda x: x.isin(*EN_WORDS))).alias("hits")))
+    counts = F.struct(
+        of_class(wide, r"\x{3040}-\x{9FFF}").alias("cjk"), of_class(wide, r"\x{3040}-\x{30FF}").alias("kana"), letters(only(low, r"\x{0000}-\x{2E7F}")).alias("latin"), of_class(wide, VI_ONLY).alias("vi"), english.alias("en"),
+    )
+    return let(counts, _confirmed)
+
+
+def _confirmed(x: Column) -> Column:
+    cjk, kana, latin, vi_letters = x.cjk, x.kana, x.latin, x.vi
     ja = F.when((cjk > 0) & (kana >= 0.05 * cjk), 2.0 * cjk).otherwise(0.0)
     vi = F.when(vi_letters >= 0.02 * latin, vi_letters / 0.1).otherwise(0.0)
-    en = F.when((F.size(words) > 0) & (english >= 0.02 * F.size(words)), latin.cast("double")).otherwise(0.0)
+    en = F.when((x.en.n > 0) & (x.en.hits >= 0.02 * x.en.n), latin.cast("double")).otherwise(0.0)
     en = F.when((vi > 0) & (en > 0), F.greatest(F.lit(0.0), latin - vi)).otherwise(en)
     best = F.greatest(ja, vi, en)
     return F.when(2 * cjk + latin < 12, "unknown").when(best <= 0, "other").when(ja == best, "ja").when(vi == best, "vi").otherwise("en")

@@ -8,10 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
 
-def vectorised(returns: str) -> Callable[[Callable], Callable[..., Column]]:
+def vectorised(returns: str, once: bool = False) -> Callable[[Callable], Callable[..., Column]]:
+    """once: keep the optimiser from repeating the call for each field that is read of its result."""
+
     def wrap(function: Callable) -> Callable[..., Column]:
         def call(*columns: Column) -> Column:
-            return pandas_udf(function, returns)(*columns)
+            made = pandas_udf(function, returns)
+            return (made.asNondeterministic() if once else made)(*columns)
 
         return call
 

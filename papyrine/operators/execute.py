@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from . import routing
 from .merge import best_attempts
 
@@ -45,7 +46,8 @@ def run_engine(tasks: DataFrame, engine: Engine) -> DataFrame:
                 made = engine(batch)
             except Exception as e:  # one batch's failure is a result of its regions, to be escalated
                 made = pd.DataFrame({"region_id": batch["region_id"], "error": f"{type(e).__name__}: {e}"})
-            yield made.reindex(columns=names)
+            made = made.reindex(columns=names).astype(object)
+            yield made.where(made.notna(), None)
 
     return tasks.mapInPandas(run, EXTRACTION)
 
@@ -62,14 +64,15 @@ def planned(regions: DataFrame, available: tuple[str, ...]) -> DataFrame:
 def judged(results: DataFrame) -> DataFrame:
     """FLT-10 on results joined with their regions (type, method, content, error, confidence, agreement, text_layer): `passed`,
     `outcome`, `score` and `issues`."""
-    content, layer = F.coalesce("content", F.lit("")), F.coalesce("text_layer", F.lit(""))
+    content = F.coalesce("content", F.lit(""))
+    results = results.withColumns({"_content": tx.nfkc(content), "_layer": tx.nfkc(F.coalesce("text_layer", F.lit("")))})
     issues = (
         F.when(F.col("type") == "formula", routing.formula_issues(content))
-        .when(F.col("type").isin("chart", "image", "table"), routing.number_issues(content, layer, F.trim(layer) != ""))
+        .when(F.col("type").isin("chart", "image", "table"), routing.number_issues(F.col("_content"), F.col("_layer"), F.trim("_layer") != ""))
         .otherwise(routing.text_issues(content, F.col("method"), F.col("confidence"), F.col("agreement"), F.array().cast("array<double>")))
     )
     made = results.withColumn("v", routing.verdict(F.col("type"), F.col("method"), content, F.col("error"), issues, F.col("confidence")))
-    return made.withColumns({"passed": F.col("v.passed"), "outcome": F.col("v.status"), "score": F.round("v.score", 3), "issues": F.col("v.issues")}).drop("v")
+    return made.withColumns({"passed": F.col("v.passed"), "outcome": F.col("v.status"), "score": F.round("v.score", 3), "issues": F.col("v.issues")}).drop("v", "_content", "_layer")
 
 
 def rounds(regions: DataFrame, engines: dict[str, Engine], last: tuple[str, ...] = ("vlm",)) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,21 +78,42 @@ def without_contained(boxes: DataFrame, keys: list[str], share: float = 0.85) ->
     return boxes.join(containers, condition, "left_anti")
 
 
+def by_page(boxes: DataFrame, keys: list[str], work: Callable[[list[dict]], list[dict]], schema: T.StructType) -> DataFrame:
+    """work over the rows of each page. Pages are dealt out and sorted by key and read as a stream: a call for each page would cost
+    more than its few boxes. A page is never cut between tasks; one page is held at a time."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        key, page = None, []
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                own = tuple(row[k] for k in keys)
+                if own != key and page:
+                    out += work(page)
+                    page = []
+                key = own
+                page.append(row)
+            yield pa.RecordBatch.from_pylist(out, arrow)
+        if page:
+            yield pa.RecordBatch.from_pylist(work(page), arrow)
+
+    return boxes.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def without_near_duplicates(boxes: DataFrame, keys: list[str], most: float = 0.8) -> DataFrame:
-    """JN-03: greedy by score (null counts as 1), then by place; a box goes if it overlaps one kept before it. A page's boxes are
-    a bounded group, so one Python call has them all."""
+    """JN-03: greedy by score (null counts as 1), then by place; a box goes if it overlaps one kept before it."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        order = page.assign(_s=-page["score"].fillna(1.0)).sort_values(["_s", "idx"], kind="stable").index
-        kept: list = []
-        corners = page[["x0", "y0", "x1", "y1"]].to_dict("index")
-        for i in order:
-            a = corners[i]
-            if not any(_iou(a, corners[j]) > most for j in kept):
-                kept.append(i)
-        return page.loc[kept]
+    def work(page: list[dict]) -> list[dict]:
+        kept: list[dict] = []
+        for box in sorted(page, key=lambda b: (-(1.0 if b["score"] is None else b["score"]), b["idx"])):
+            if not any(_iou(box, other) > most for other in kept):
+                kept.append(box)
+        return kept
 
-    return boxes.groupBy(*keys).applyInPandas(run, boxes.schema)
+    return by_page(boxes, keys, work, boxes.schema)
 
 
 def _iou(a: dict, b: dict) -> float:
@@ -188,12 +211,10 @@ def order_boxes(boxes: list[dict], page_width: float | None = None) -> list[dict
 
 
 def reading_order(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """WN-01, WN-02: boxes with `order` (from 1) and `region_id`; one call for each page, whose boxes are few."""
+    """WN-01, WN-02: boxes with `order` (from 1) and `region_id`."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        items = page.sort_values("idx")[["idx", "type", "x0", "y0", "x1", "y1"]].to_dict("records")
-        place = {b["idx"]: i + 1 for i, b in enumerate(order_boxes(items))}
-        return page.assign(order=page["idx"].map(place).astype("int32"))
+    def work(page: list[dict]) -> list[dict]:
+        return [box | {"order": i} for i, box in enumerate(order_boxes(sorted(page, key=lambda b: b["idx"])), 1)]
 
     schema = T.StructType([*boxes.schema.fields, T.StructField("order", T.IntegerType())])
-    return boxes.groupBy(*keys).applyInPandas(run, schema).withColumn("region_id", F.concat(F.lit("p"), F.col(keys[-1]), F.lit("-r"), F.col("order")))
+    return by_page(boxes, keys, work, schema).withColumn("region_id", F.concat(F.lit("p"), F.col(keys[-1]), F.lit("-r"), F.col("order")))

@@ -57,9 +57,9 @@ def _issues(*pairs: tuple[Column, Column | str]) -> Column:
     return F.array_compact(F.array(*[F.when(test, F.lit(said) if isinstance(said, str) else said) for test, said in pairs]))
 
 
-def number_issues(candidate: Column, reference: Column, complete: Column, folded: bool = True) -> Column:
-    """VAL-02: what the candidate text lost or added against the evidence; nothing if the evidence has no numbers."""
-    ref, cand = tx.numbers(reference, folded), tx.numbers(candidate, folded)
+def number_issues(candidate: Column, reference: Column, complete: Column) -> Column:
+    """VAL-02 on NFKC texts: what the candidate lost or added against the evidence; nothing if the evidence has no numbers."""
+    ref, cand = tx.numbers(reference, False), tx.numbers(candidate, False)
     recall, precision = tx.multiset_recall(ref, cand), tx.multiset_recall(cand, ref)
     signs = F.array_distinct(F.regexp_extract_all(reference, F.lit(f"[{tx.SPECIAL}]"), F.lit(0)))
     times = lambda c, s: F.length(c) - F.length(F.replace(c, s, F.lit("")))
@@ -179,10 +179,10 @@ def ungrounded(labels: Column, printed: Column, least: float = 0.75) -> Column:
 
 
 def keep_figure(policy: Column, status: Column, kind: Column, description: Column, figure_kind: Column, lossless: Column, figure_text: Column, values: Column, labels: Column) -> Column:
-    """FLT-08: whether the picture stays, and why; values and labels: those of the chart's data."""
+    """FLT-08: whether the picture stays, and why; values and labels: those of the chart's data; texts are NFKC."""
     fk = F.lower(F.coalesce(figure_kind, F.lit("other")))
     chart = (kind == "chart") | (fk == "chart")
-    numbers = tx.numbers(F.array_join(values, " "))
+    numbers = tx.numbers(F.array_join(values, " "), False)
     missing = ungrounded(labels, F.coalesce(figure_text, F.lit("")))
 
     def say(keep: bool, reason) -> Column:
@@ -201,7 +201,7 @@ def keep_figure(policy: Column, status: Column, kind: Column, description: Colum
         .when(figure_text.isNull(), say(True, "text inside the picture was not read by OCR"))
         .when(chart & (F.coalesce(F.size(values), F.lit(0)) <= 0), say(True, "chart without extracted data"))
         .when(chart & F.exists(values, lambda v: F.trim(v).startswith("~")), say(True, "chart values are estimated"))
-        .when(chart & (F.size(numbers) > 0) & (tx.multiset_recall(numbers, tx.numbers(figure_text)) < SETTINGS["number_match_min"]), say(True, "chart values not found in the text of the picture"))
+        .when(chart & (F.size(numbers) > 0) & (tx.multiset_recall(numbers, tx.numbers(figure_text, False)) < SETTINGS["number_match_min"]), say(True, "chart values not found in the text of the picture"))
         .when(chart & (F.size(missing) > 0), say(True, F.concat(F.lit("chart labels not printed in the picture: "), F.array_join(F.slice(missing, 1, 3), "; "))))
         .otherwise(say(False, "fully described by text"))
     )
