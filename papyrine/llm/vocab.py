@@ -43,9 +43,18 @@ def counts(texts: DataFrame, words: Callable[[bytes], Iterable[bytes]]) -> DataF
 
 
 def head_of(table: DataFrame, *values: str, size: int = HEAD) -> dict[bytes, tuple]:
-    """The values of the `size` most frequent words that are at most HEAD_BYTES long."""
-    top = table.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(size)
-    return {bytes(r[0]): tuple(r)[1:] for r in top.select(F.col("word").cast("binary"), *values).collect()}
+    """The values of the most frequent words that are at most HEAD_BYTES long: as many whole classes of frequency (eight to
+    an octave) as hold `size` words at most. A table of classes decides, so the driver gets no more rows than it keeps."""
+    short = table.where(F.octet_length("word") <= HEAD_BYTES).withColumn("class", F.floor(8 * F.log2("n")).cast("int"))
+    least, held = None, 0
+    for k, n in sorted(map(tuple, short.groupBy("class").count().collect()), reverse=True):
+        held += n
+        if held > size:
+            break
+        least = k
+    if least is None:
+        return {}
+    return {bytes(r[0]): tuple(r)[1:] for r in short.where(F.col("class") >= least).select(F.col("word").cast("binary"), *values).collect()}
 
 
 def document_sums(docs: DataFrame, base: str, rows: Callable, table: DataFrame, sums: dict[str, Column], keep: list[str]) -> DataFrame:
