@@ -127,7 +127,7 @@ def fit(docs: DataFrame, train_rows: Column, examples: int = 1_000_000, core_siz
     table = written(vocab.counts(texts, tokens), "words")
     head = vocab.head_of(table, "n")
     n_tokens, n_words = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    common = [w for w in head if w != END][:core_size]
+    common = sorted((w for w in head if w != END), key=lambda w: (-head[w][0], w))[:core_size]
     core = {w: i for i, w in enumerate([END, *common])}
     by_ending = class_totals(table, core)
     frequent = sorted(by_ending, key=lambda e: (-by_ending[e][0], e))[:classes]
@@ -177,7 +177,7 @@ def score(docs: DataFrame, modulus: int = 10, examples: int = 1_000_000) -> Data
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
     model, table, head, n_all, v_all, inside = fit(docs, fold_of("doc_id", modulus) != 0, examples)
-    shared = spark.sparkContext.broadcast((model, {w: n for w, (n,) in head.items()}))
+    shared = spark.sparkContext.broadcast((model, {w: math.log10(n + ADD) for w, (n,) in head.items()}))
     id_schema = docs.select("doc_id").schema
     bottom = math.log10(n_all + ADD * (v_all + 1))
     within = {k: math.log10(t + ADD * (w + 1)) for k, (t, w) in inside.items()}
@@ -186,11 +186,10 @@ def score(docs: DataFrame, modulus: int = 10, examples: int = 1_000_000) -> Data
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow_id = to_arrow_schema(id_schema).field(0).type
-        model, head = shared.value
+        model, logs = shared.value
         one, two, normaliser = model.tables()
         ids = vocab.row_ids()
         add = np.array([within.get(k, 0.0) for k in range(len(model.bias))])
-        logs = {w: math.log10(n + ADD) for w, n in head.items()}
         for batch in batches:
             out = {c: [] for c in ("rid", "word", "f", "at", "n", "known", "base", "score")}
             for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
