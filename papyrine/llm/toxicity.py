@@ -129,26 +129,32 @@ def candidate_terms(sample: DataFrame, size: int, least: int) -> list[tuple[str,
     return [tuple(r) for r in by.where((F.col("bad") >= least) & (F.length("word") >= 3)).orderBy(odds.desc(), F.desc("bad"), "word").limit(size).collect()]
 
 
-def distinct_texts(sample: DataFrame, shingle: int = 3, sketches: int = 4) -> DataFrame:
-    """The sample without near copies, which would count the words of one text many times: of documents that share one of
-    `sketches` least hashes of their word shingles, the one with the least id stays. The sample is bounded, so its sketches are too."""
+def sketch(text: bytes, shingle: int = 5, bands: int = 8, rows: int = 4) -> list[int]:
+    """A hash for each band of `rows` least hashes of the word shingles: near copies share one, other texts hardly ever."""
+    import xxhash
+
+    words = text.lower().split()
+    some = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+    hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in some], np.uint64)
+    mixed = np.random.default_rng(23).integers(1, 2**63, (bands * rows, 2), dtype=np.int64).astype(np.uint64) | np.uint64(1)
+    least = np.array([(hashes * m ^ (hashes >> np.uint64(29)) * k).min() for m, k in mixed], np.uint64)
+    return [xxhash.xxh3_64_intdigest(x.tobytes()) >> 1 for x in least.reshape(bands, rows)]
 
-    def run(batches):
-        import xxhash
 
+def distinct_texts(sample: DataFrame) -> DataFrame:
+    """The sample without near copies, which would count the words of one text many times: of documents that share a band of
+    their sketches, the one with the least id stays. The sample is bounded, so its sketches are too."""
+
+    def run(batches):
         for batch in batches:
-            least = []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                words = text.lower().split()
-                some = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
-                least.append([min(xxhash.xxh3_64_intdigest(x, seed) for x in some) >> 1 for seed in range(sketches)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "least"])
+            bands = [sketch(x) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "bands"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
     seen: set[tuple[int, int]] = set()
     keep = []
-    for doc_id, least in sorted(map(tuple, sample.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, least array<long>").collect())):
-        own = set(enumerate(least))
+    for doc_id, bands in sorted(map(tuple, sample.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, bands array<long>").collect())):
+        own = set(enumerate(bands))
         if not own & seen:
             keep.append((doc_id,))
         seen |= own
