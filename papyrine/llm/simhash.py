@@ -34,6 +34,8 @@ from .common import shared_dir
 FANOUT = 8
 #: Pairs of a query and a node that a search holds at once.
 FRONTIER = 1 << 20
+#: Fingerprints in buckets that a task works on at once.
+STEP = 1 << 17
 
 
 def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
@@ -217,25 +219,39 @@ def similar_links(codes: DataFrame, bits: int = 4, share: int = 2, cell: int = 4
     met = met.select("fp", "part", "pattern", "own", F.explode(other).alias("other"))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(low == high, 0).when(F.col("own") == low, 1).otherwise(2)
-    cells = met.select("fp", F.xxhash64("part", "pattern", low, high).alias("h"), "part", "pattern", low.alias("low"), high.alias("high"), side.cast("byte").alias("side"))
-    cells = cells.repartition("part", "pattern", "low", "high")
+    cells = met.select("fp", "part", "pattern", low.alias("low"), high.alias("high"), side.cast("byte").alias("side"))
+    key = ("part", "pattern", "low", "high")
+    cells = cells.select("fp", *key, "side").repartition(*key).sortWithinPartitions(*key)
 
-    def run(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
-            return
-        columns = [table.column(c).to_numpy() for c in ("part", "pattern", "low", "high")]
-        order = np.lexsort(columns)
-        new = np.zeros(len(order), bool)
-        for c in columns:
-            new[1:] |= c[order][1:] != c[order][:-1]
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new)
-        a, b = links_of_cells(number, table.column("side").to_numpy(), table.column("fp").to_numpy().view(np.uint64), bits)
+    def linked(rows: pa.Table, new: np.ndarray) -> pa.RecordBatch:
+        a, b = links_of_cells(np.cumsum(new), rows.column("side").to_numpy(), rows.column("fp").to_numpy().view(np.uint64), bits)
         a, b = a.view(np.int64), b.view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
-    return cells.select("fp", "part", "pattern", "low", "high", "side").mapInArrow(run, "a long, b long")
+    def run(batches):
+        held = None  # whole cells are worked on some STEP rows at a time; the cell that may go on waits
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if held.num_rows >= STEP:
+                new = _starts(held, key)
+                cut = int(np.flatnonzero(new)[-1]) if new.any() else 0
+                if cut:
+                    yield linked(held.slice(0, cut), new[:cut])
+                    held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield linked(held, _starts(held, key))
+
+    return cells.mapInArrow(run, "a long, b long")
+
+
+def _starts(rows: pa.Table, key: tuple[str, ...]) -> np.ndarray:
+    """Whether a row of the sorted rows has another key than the one before."""
+    new = np.zeros(rows.num_rows, bool)
+    for c in key:
+        x = rows.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return new
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
