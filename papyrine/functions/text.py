@@ -25,12 +25,14 @@ CJK = r"\x{3000}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{F
 EXPECTED = rf"\x{{0000}}-\x{{024F}}\x{{0370}}-\x{{03FF}}\x{{1E00}}-\x{{1EFF}}\x{{2100}}-\x{{214F}}{CJK}"
 SPECIAL = "%$€£¥₫円±≤≥≠≈×÷°§©®™→←↑↓↔⇒√∞∑∏∫∂∆∇µπσΩαβγδλ‰′″※〒"
 BULLET = r"^[\t-\r ]*([-•●▪◦‣∙*+]|[0-9]{1,3}[.)]|[a-zA-Z][.)]|[ivxIVX]{1,5}[.)])[\t-\r ]+"
-NUMBER = r"[-+−]?[0-9]+(?:[., ][0-9]+)*%?"
+NUMBER = r"[-+−]?[0-9]+(?:[.,\x{00A0}\x{202F}][0-9]+)*%?"
 EN_WORDS = "the and of to in for is on with by as at from that this are be was our we or an it which".split()
 VI_ABBREVIATIONS = (
     "UBND HĐND MTTQ TNHH CTCP TP HCM QĐ NĐ CP TT TTG BTC BCT BYT BGDĐT BXD BKHĐT NHNN NSNN VN VNĐ VND USD TW KT XH KH BC CV SXKD GTGT TNDN TNCN BHXH BHYT BHTN CBCNV CNTT THPT THCS "
     "ĐH PGS TS THS GS STT ĐVT HĐQT ĐHĐCĐ BKS MST CMND CCCD QLDA XDCB HĐ KHCN PCCC ATTP"
 ).split()
+#: Letters of the basic plane that came after Unicode 13, which Java 17 knows.
+NEW_LETTERS = r"\x{0870}-\x{0887}\x{0889}-\x{088E}\x{08C8}\x{08C9}\x{0C5D}\x{0CDD}\x{1C89}\x{1C8A}\x{2C2F}\x{2C5F}\x{A7C0}\x{A7C1}\x{A7D0}-\x{A7D9}\x{A7F2}-\x{A7F4}"
 # --- end of fixed values -------------------------------------------------------------------------------------------------
 
 WORD = r"[\p{L}\p{Nl}\p{No}]+"
@@ -51,7 +53,7 @@ def vowelled() -> str:
 TONED_1, TONED_2 = with_marks(TONES, 1), with_marks(TONES, 2)
 VOWEL = f"[{vowelled()}]"
 #: The same for Java, quick on ASCII.
-VOWEL_FAST = rf"[AEIOUYaeiouy]|[^\x00-\x7F&&[{VOWEL}]]"
+VOWEL_FAST = rf"[AEIOUYaeiouy]|[[^\x00-\x7F]&&{VOWEL}]"
 
 
 def _normal_form(form: str):
@@ -103,7 +105,7 @@ def beyond_ascii(c: Column) -> Column:
 
 
 def letters(c: Column) -> Column:
-    return of_class(c, r"\p{L}")
+    return of_class(c, r"\p{L}" + NEW_LETTERS)
 
 
 def foreign_script_ratio(c: Column) -> Column:

@@ -90,3 +90,56 @@ def comparison(t: Tables) -> DataFrame:
 @query("SNK-02", "SELECT doc_id, '{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}' AS value FROM documents")
 def json_rows(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.to_json(F.struct("doc_id", "lang", "source")).alias("value"))
+
+
+@query("TXT-17", None)
+def paragraphs(t: Tables) -> DataFrame:
+    """Boxes of a page as lines of text, joined to paragraphs."""
+    from ..operators import lines
+
+    rows = t.boxes.select("page", F.col("type").alias("text"), "x0", "y0", "x1", "y1")
+    return lines.region_texts(rows, ["page"])
+
+
+@query("TXT-28", "SELECT event_id, event_type || ' — bar' || chr(10) || chr(10) || '| k | v |' || chr(10) || '|---|---|' || chr(10) || '| ' || user_id || ' | x |' AS markdown FROM events")
+def chart_texts(t: Tables) -> DataFrame:
+    from ..functions import charts
+
+    data = F.to_json(F.struct(F.col("event_type").alias("title"), F.lit("bar").alias("chart_type"), F.array(F.lit("k"), F.lit("v")).alias("columns"), F.array(F.array(F.col("user_id").cast("string"), F.lit("x"))).alias("rows")))
+    return t.events.select("event_id", charts.chart_markdown(data, F.lit("")).alias("markdown"))
+
+
+@query("TXT-33", "SELECT event_id, CAST(user_id AS VARCHAR) || '|x' AS cells, event_type || '|k|v|x' AS labels FROM events")
+def chart_parts(t: Tables) -> DataFrame:
+    from ..functions import charts
+
+    data = F.to_json(F.struct(F.col("event_type").alias("title"), F.array(F.lit("k"), F.lit("v")).alias("columns"), F.array(F.array(F.col("user_id").cast("string"), F.lit("x"))).alias("rows")))
+    made = t.events.select("event_id", charts.described(data).alias("c"))
+    return made.select("event_id", F.array_join("c.cells", "|").alias("cells"), F.array_join("c.labels", "|").alias("labels"))
+
+
+@query("TXT-30", None)
+def model_characters(t: Tables) -> DataFrame:
+    from ..functions import charsets
+
+    return t.spark.createDataFrame(list(enumerate(charsets.charset())), "place int, ch string")
+
+
+@query("FLT-17", "SELECT doc_id, regexp_full_match(line, '[a-zA-Z., ]*') AND length(line) >= 2 AS kept FROM (SELECT doc_id, replace(text[1:40], chr(10), ' ') AS line FROM documents)")
+def training_lines(t: Tables) -> DataFrame:
+    line = F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit(" "))
+    return t.documents.select("doc_id", (line.rlike("^[a-zA-Z., ]*$") & (F.length(line) >= 2)).alias("kept"))
+
+
+@query("FLT-08", "SELECT doc_id, CASE k WHEN 0 THEN 'seal/stamp: the picture is the evidence' WHEN 1 THEN 'no structured description' WHEN 2 THEN 'visual content (photo)' WHEN 3 THEN 'description would lose information' WHEN 4 THEN 'text inside the picture was not read by OCR' ELSE 'fully described by text' END AS reason FROM (SELECT doc_id, doc_id % 6 AS k FROM documents)")
+def figure_reasons(t: Tables) -> DataFrame:
+    k = F.col("doc_id") % 6
+    none = F.array().cast("array<string>")
+    made = routing.keep_figure(F.lit("auto"), F.lit("unchecked"), F.when(k == 0, "seal").otherwise("image"), F.when(k != 1, "said"), F.when(k == 2, "photo").otherwise("diagram"), k != 3, F.when(k != 4, "words"), none, none)
+    return t.documents.select("doc_id", made["reason"].alias("reason"))
+
+
+@query("FLT-09", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'quite different' END AS missing FROM documents")
+def ungrounded_labels(t: Tables) -> DataFrame:
+    labels = F.array(F.lit("Net revenue"), F.when(F.col("doc_id") % 2 == 0, "revenues").otherwise("quite different"))
+    return t.documents.select("doc_id", F.array_join(routing.ungrounded(labels, F.lit("net revenue 2024 and 2025")), "|").alias("missing"))

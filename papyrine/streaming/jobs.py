@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def inbox(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
     """STR-01, STR-04: new files of a folder as (path, content, sha256, arrived)."""
-    files = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).load(path)
+    files = spark.readStream.schema("path string, modificationTime timestamp, length bigint, content binary").format("binaryFile").option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).load(path)
     return files.select("path", "content", F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("arrived"))
 
 
