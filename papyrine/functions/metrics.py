@@ -5,10 +5,11 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from .udf import vectorised
 
@@ -27,13 +28,35 @@ def cer(reference: Column, hypothesis: Column) -> Column:
     return F.when(F.length(reference) == 0, F.when(F.length(hypothesis) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(reference, hypothesis) / F.length(reference))
 
 
+@vectorised("double")
+def _bag_f1(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    def one(a, b):
+        a, b = Counter(a), Counter(b)
+        return 2 * (a & b).total() / (a.total() + b.total()) if a or b else 1.0
+
+    return pd.Series([one(a, b) for a, b in zip(reference, hypothesis, strict=True)], reference.index, dtype=float)
+
+
 def bag_f1(reference: Column, hypothesis: Column) -> Column:
-    """MT-06, MT-09 on two arrays of strings: 1 if both are empty, 0 if nothing is common."""
-    kinds = F.array_intersect(reference, hypothesis)
-    times = lambda items, k: F.size(F.filter(items, lambda x: x == k))
-    common = F.aggregate(kinds, F.lit(0), lambda acc, k: acc + F.least(times(reference, k), times(hypothesis, k)))
-    f1 = 2.0 * common / (F.size(reference) + F.size(hypothesis))
-    return F.when((F.size(reference) == 0) & (F.size(hypothesis) == 0), 1.0).when(common == 0, 0.0).otherwise(f1)
+    """MT-06, MT-09 on two arrays of strings: 1 if both are empty, 0 if nothing is common. Spark's array functions would compare
+    every kind with every token; for whole corpora see bag_counts."""
+    return _bag_f1(reference, hypothesis)
+
+
+def bag_counts(rows: DataFrame, keys: list[str], reference: str, hypothesis: str) -> DataFrame:
+    """JN-18 for long texts: of each key, the tokens that two array columns have in common, and the size of both bags. Each token's
+    numbers are added up before and after one shuffle, so a text's length costs in proportion."""
+    side = lambda c, r, h: rows.select(*keys, F.explode_outer(c).alias("token"), F.lit(r).alias("r"), F.lit(h).alias("h"))
+    both = side(reference, 1, 0).unionAll(side(hypothesis, 0, 1))
+    zero = F.col("token").isNull()  # an empty bag keeps its key
+    counts = both.groupBy(*keys, "token").agg(F.sum(F.when(zero, 0).otherwise(F.col("r"))).alias("r"), F.sum(F.when(zero, 0).otherwise(F.col("h"))).alias("h"))
+    return counts.groupBy(*keys).agg(F.sum(F.least("r", "h")).alias("common"), F.sum("r").alias("reference"), F.sum("h").alias("hypothesis"))
+
+
+def f1_of() -> Column:
+    """MT-06 from bag_counts."""
+    sizes = F.col("reference") + F.col("hypothesis")
+    return F.when(sizes == 0, 1.0).otherwise(2.0 * F.col("common") / F.greatest(sizes, F.lit(1)))
 
 
 def edit_distance(a: list, b: list) -> int:

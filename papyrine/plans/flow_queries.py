@@ -43,7 +43,7 @@ def executed(t: Tables) -> tuple[DataFrame, DataFrame]:
     k = F.col("doc_id") % 10
     regions = t.documents.select(
         F.col("doc_id").cast("string").alias("region_id"), F.col("source").alias("doc"), F.when(k == 0, "formula").when(k == 1, "image").otherwise("text").alias("type"),
-        F.when(k == 2, "scanned").otherwise("digital").alias("page_kind"), F.lit(0.2).alias("area_ratio"), F.substring("text", 1, 400).alias("text_layer"), F.lit(0).alias("cells"), F.lit(False).alias("full_page"),
+        F.when(k == 2, "scanned").otherwise("digital").alias("page_kind"), F.lit(0.2).alias("area_ratio"), F.col("text").alias("text_layer"), F.lit(0).alias("cells"), F.lit(False).alias("full_page"),
     )
     return execute.rounds(regions, {"pdf_text": _reader, "ocr": _weak, "formula_recognition": _formula})
 
@@ -125,10 +125,10 @@ def model_characters(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(list(enumerate(charsets.charset())), "place int, ch string")
 
 
-@query("FLT-17", "SELECT doc_id, regexp_full_match(line, '[a-zA-Z., ]*') AND length(line) >= 2 AS kept FROM (SELECT doc_id, replace(text[1:40], chr(10), ' ') AS line FROM documents)")
+@query("FLT-17", "SELECT doc_id, CAST(count(*) AS BIGINT) AS lines, CAST(count(*) FILTER (WHERE regexp_full_match(line, '[a-zA-Z., ]*') AND length(line) >= 2) AS BIGINT) AS kept FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id")
 def training_lines(t: Tables) -> DataFrame:
-    line = F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit(" "))
-    return t.documents.select("doc_id", (line.rlike("^[a-zA-Z., ]*$") & (F.length(line) >= 2)).alias("kept"))
+    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("line").rlike("^[a-zA-Z., ]*$") & (F.length("line") >= 2)).alias("kept"))
 
 
 @query("FLT-08", "SELECT doc_id, CASE k WHEN 0 THEN 'seal/stamp: the picture is the evidence' WHEN 1 THEN 'no structured description' WHEN 2 THEN 'visual content (photo)' WHEN 3 THEN 'description would lose information' WHEN 4 THEN 'text inside the picture was not read by OCR' ELSE 'fully described by text' END AS reason FROM (SELECT doc_id, doc_id % 6 AS k FROM documents)")

@@ -253,11 +253,11 @@ def merged_shards(t: Tables) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("AG-13", "SELECT source, round(sum(levenshtein(a, b)) / sum(length(a)), 6) AS cer, round(avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END), 6) AS exact FROM (SELECT source, regexp_replace(text[1:80], '[^a-z ]', '', 'g') || 'x' AS a, regexp_replace(CASE WHEN doc_id % 3 = 0 THEN text[1:80] ELSE text[2:83] END, '[^a-z ]', '', 'g') || 'x' AS b FROM documents) GROUP BY source")
+@query("AG-13", "SELECT role, round(sum(levenshtein(a, b)) / sum(length(a)), 6) AS cer, round(avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END), 6) AS exact FROM (SELECT role, regexp_replace(text, '[^a-z ]', '', 'g') || 'x' AS a, regexp_replace(CASE WHEN turn % 3 = 0 THEN text ELSE replace(text, 'on', 'n') END, '[^a-z ]', '', 'g') || 'x' AS b FROM conversations) GROUP BY role")
 def line_errors(t: Tables) -> DataFrame:
     clean = lambda c: F.concat(F.regexp_replace(c, "[^a-z ]", ""), F.lit("x"))
-    rows = t.documents.select("source", clean(F.substring("text", 1, 80)).alias("ref"), clean(F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 80)).otherwise(F.substring("text", 2, 82))).alias("hyp"))
-    return benchmark.line_scores(rows, ["source"]).select("source", F.round("cer", 6).alias("cer"), F.round("line_accuracy", 6).alias("exact"))
+    rows = t.conversations.select("role", clean(F.col("text")).alias("ref"), clean(F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise(F.replace("text", F.lit("on"), F.lit("n")))).alias("hyp"))
+    return benchmark.line_scores(rows, ["role"]).select("role", F.round("cer", 6).alias("cer"), F.round("line_accuracy", 6).alias("exact"))
 
 
 @query("AG-14", "SELECT region, method, max_by(score, step) AS score FROM attempts GROUP BY region, method", "attempts")
@@ -457,38 +457,47 @@ def gated(t: Tables) -> DataFrame:
 
 # --- metrics --------------------------------------------------------------------------------------------------------------
 
-PAIRS = "pairs AS (SELECT doc_id, regexp_replace(text[1:300], '[^A-Za-z ]', '', 'g') || ' end' AS ref, regexp_replace(regexp_replace(text[1:310], '[^A-Za-z ]', '', 'g'), ' th[a-z]*', ' the', 'g') || ' end' AS hyp FROM documents)"
+PAIRS = "pairs AS (SELECT conv_id, turn, regexp_replace(text, '[^A-Za-z ]', '', 'g') || ' end' AS ref, regexp_replace(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' th[a-z]*', ' the', 'g') || ' end' AS hyp FROM conversations)"
+TURN = ["conv_id", "turn"]
 
 
 def pairs(t: Tables) -> DataFrame:
-    ascii_ = lambda c: F.regexp_replace(c, "[^A-Za-z ]", "")
-    return t.documents.select("doc_id", F.concat(ascii_(F.substring("text", 1, 300)), F.lit(" end")).alias("ref"), F.concat(F.regexp_replace(ascii_(F.substring("text", 1, 310)), " th[a-z]*", " the"), F.lit(" end")).alias("hyp"))
+    """Every turn, and a copy of it with errors."""
+    plain = F.regexp_replace("text", "[^A-Za-z ]", "")
+    return t.conversations.select(*TURN, F.concat(plain, F.lit(" end")).alias("ref"), F.concat(F.regexp_replace(plain, " th[a-z]*", " the"), F.lit(" end")).alias("hyp"))
 
 
-@query("MT-02", f"WITH {PAIRS} SELECT doc_id, round(levenshtein(ref, hyp) / greatest(length(ref), length(hyp)), 6) AS d FROM pairs")
+def dialogues(t: Tables) -> DataFrame:
+    """Every conversation with a line for each turn, and the same with errors and the turns backwards."""
+    text = lambda c, order: F.array_join(F.transform(order(F.array_sort(F.collect_list(F.struct("turn", c)))), lambda x: x[c]), "\n")
+    return pairs(t).groupBy("conv_id").agg(text("ref", lambda x: x).alias("ref"), text("hyp", F.reverse).alias("hyp"))
+
+
+@query("MT-02", f"WITH {PAIRS} SELECT conv_id, turn, round(levenshtein(ref, hyp) / greatest(length(ref), length(hyp)), 6) AS d FROM pairs")
 def distances(t: Tables) -> DataFrame:
-    return pairs(t).select("doc_id", F.round(metrics.normalized_distance(F.col("ref"), F.col("hyp")), 6).alias("d"))
+    return pairs(t).select(*TURN, F.round(metrics.normalized_distance(F.col("ref"), F.col("hyp")), 6).alias("d"))
 
 
-@query("MT-03", f"WITH {PAIRS} SELECT doc_id, round(levenshtein(ref, hyp) / length(ref), 6) AS cer FROM pairs")
+@query("MT-03", f"WITH {PAIRS} SELECT conv_id, turn, round(levenshtein(ref, hyp) / length(ref), 6) AS cer FROM pairs")
 def error_rates(t: Tables) -> DataFrame:
-    return pairs(t).select("doc_id", F.round(metrics.cer(F.col("ref"), F.col("hyp")), 6).alias("cer"))
+    return pairs(t).select(*TURN, F.round(metrics.cer(F.col("ref"), F.col("hyp")), 6).alias("cer"))
 
 
 @query("MT-04", None)
 def any_order(t: Tables) -> DataFrame:
-    return pairs(t).select("doc_id", F.round(metrics.cer_any_order(F.col("ref"), F.col("hyp")), 6).alias("cer"))
+    return dialogues(t).select("conv_id", F.round(metrics.cer_any_order(F.col("ref"), F.col("hyp")), 6).alias("cer"))
 
 
 @query("MT-05", None)
 def word_errors(t: Tables) -> DataFrame:
-    return pairs(t).select("doc_id", F.round(metrics.wer(F.col("ref"), F.col("hyp")), 6).alias("wer"))
+    return pairs(t).select(*TURN, F.round(metrics.wer(F.col("ref"), F.col("hyp")), 6).alias("wer"))
 
 
-@query("MT-06", f"""WITH {PAIRS}, a AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(ref), '{tx.TOKEN}')) AS w FROM pairs) GROUP BY ALL), b AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(hyp), '{tx.TOKEN}')) AS w FROM pairs) GROUP BY ALL)
+@query("MT-06", f"""WITH a AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{tx.TOKEN}')) AS w FROM documents) GROUP BY ALL), b AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(replace(lower(text), ' th', ' x'), '{tx.TOKEN}')) AS w FROM documents) GROUP BY ALL)
 SELECT doc_id, round(2.0::DOUBLE * sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) / (sum(coalesce(a.n, 0)) + sum(coalesce(b.n, 0))), 6) AS f1 FROM a FULL JOIN b USING (doc_id, w) GROUP BY doc_id""")
 def word_f1(t: Tables) -> DataFrame:
-    return pairs(t).select("doc_id", F.round(metrics.bag_f1(tx.tokens(F.col("ref")), tx.tokens(F.col("hyp"))), 6).alias("f1"))
+    rows = t.documents.select("doc_id", tx.tokens(F.col("text")).alias("a"), tx.tokens(F.replace(F.lower("text"), F.lit(" th"), F.lit(" x"))).alias("b"))
+    return metrics.bag_counts(rows, ["doc_id"], "a", "b").select("doc_id", F.round(metrics.f1_of(), 6).alias("f1"))
 
 
 @query("MT-07", None)
@@ -501,8 +510,7 @@ def tree_scores(t: Tables) -> DataFrame:
 
 @query("MT-10", None)
 def score_vectors(t: Tables) -> DataFrame:
-    rows = pairs(t)
-    return rows.select("doc_id", *[c.alias(k) for k, c in metrics.document_scores(F.concat(F.lit("# one\n"), F.col("ref")), F.concat(F.lit("# One\n"), F.col("hyp"))).items()])
+    return dialogues(t).select("conv_id", *[c.alias(k) for k, c in metrics.document_scores(F.concat(F.lit("# one\n"), F.col("ref")), F.concat(F.lit("# One\n"), F.col("hyp"))).items()])
 
 
 # --- HTML, tables ---------------------------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import metrics
 from ..functions import text as tx
 from ..operators import corpus, layout, routing
 from .registry import query
@@ -99,12 +100,14 @@ def special(t: Tables) -> DataFrame:
     return signs.groupBy("sign").agg(F.sum("k").cast("long").alias("n"), F.count(F.lit(1)).alias("documents"))
 
 
-@query("TXT-12", f"""WITH q AS (SELECT doc_id, regexp_extract_all(lower(text[1:200]), '[a-z]+') AS a, regexp_extract_all(lower(text[100:300]), '[a-z]+') AS b FROM documents),
+@query("TXT-12", """WITH q AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS a, regexp_extract_all(replace(lower(text), ' th', ' x'), '[a-z]+') AS b FROM documents),
 x AS (SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, unnest(a) AS w FROM q) GROUP BY ALL), y AS (SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, unnest(b) AS w FROM q) GROUP BY ALL)
 SELECT q.doc_id, round(CASE WHEN len(any_value(q.a)) = 0 THEN 1.0 ELSE sum(least(coalesce(x.k, 0), coalesce(y.k, 0))) / len(any_value(q.a)) END, 6) AS recall FROM q LEFT JOIN x USING (doc_id) LEFT JOIN y ON y.doc_id = x.doc_id AND y.w = x.w GROUP BY q.doc_id""")
 def recall(t: Tables) -> DataFrame:
-    w = lambda a, b: F.regexp_extract_all(F.lower(F.substring("text", a, b)), F.lit("[a-z]+"), F.lit(0))
-    return t.documents.select("doc_id", F.round(tx.multiset_recall(w(1, 200), w(100, 201)), 6).alias("recall"))
+    w = lambda c: F.regexp_extract_all(c, F.lit("[a-z]+"), F.lit(0))
+    rows = t.documents.select("doc_id", w(F.lower("text")).alias("a"), w(F.replace(F.lower("text"), F.lit(" th"), F.lit(" x"))).alias("b"))
+    share = F.when(F.col("reference") == 0, 1.0).otherwise(F.col("common") / F.greatest("reference", F.lit(1)))
+    return metrics.bag_counts(rows, ["doc_id"], "a", "b").select("doc_id", F.round(share, 6).alias("recall"))
 
 
 @query("TXT-13", rf"SELECT conv_id, turn, regexp_matches(line, '{tx.BULLET}') AS item, regexp_replace(line, '{tx.BULLET}', '') AS body FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '- ' WHEN 1 THEN '2. ' WHEN 2 THEN 'b) ' ELSE '' END || text AS line FROM conversations)")
@@ -142,9 +145,9 @@ def word_lists(t: Tables) -> DataFrame:
     return made.select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", " ").cast("binary")).alias("digest"))
 
 
-@query("TXT-21", r"SELECT doc_id, regexp_replace(regexp_replace(replace(strip_accents(lower(text[1:120])), 'đ', 'd'), '[^\p{L}\p{N}/]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
+@query("TXT-21", r"SELECT doc_id, md5(regexp_replace(regexp_replace(replace(strip_accents(lower(text)), 'đ', 'd'), '[^\p{L}\p{N}/]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM documents")
 def slugs(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", tx.fold(F.substring("text", 1, 120)).alias("slug"))
+    return t.documents.select("doc_id", F.md5(tx.fold(F.col("text")).cast("binary")).alias("slug"))
 
 
 @query("TXT-22", None)
@@ -256,7 +259,7 @@ def verdicts(t: Tables) -> DataFrame:
     return t.attempts.select("region", "step", v["passed"].alias("passed"), v["status"].alias("status"), F.round(v["score"], 4).alias("score"))
 
 
-@query("VAL-07", "SELECT doc_id, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS agreement FROM (SELECT doc_id, regexp_replace(regexp_replace(text[1:120], '[^a-z ]', '', 'g'), ' ', '', 'g') || 'x' AS a, regexp_replace(regexp_replace(text[5:124], '[^a-z ]', '', 'g'), ' ', '', 'g') || 'x' AS b FROM documents)")
+@query("VAL-07", "SELECT conv_id, turn, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS agreement FROM (SELECT conv_id, turn, regexp_replace(text, '[^a-z]', '', 'g') || 'x' AS a, regexp_replace(replace(text, ' th', ' '), '[^a-z]', '', 'g') || 'x' AS b FROM conversations)")
 def agreements(t: Tables) -> DataFrame:
-    part = lambda i: F.concat(F.regexp_replace(F.substring("text", i, 120), "[^a-z ]", ""), F.lit("x"))
-    return t.documents.select("doc_id", F.round(routing.agreement(part(1), part(5)), 6).alias("agreement"))
+    plain = lambda c: F.concat(F.regexp_replace(c, "[^a-z ]", ""), F.lit("x"))
+    return t.conversations.select("conv_id", "turn", F.round(routing.agreement(plain(F.col("text")), plain(F.replace("text", F.lit(" th"), F.lit(" ")))), 6).alias("agreement"))
