@@ -290,7 +290,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, share: int
     codes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(similar_links(codes.select("fp"), bits, share, cell))
     rooted = codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # cut here, so that the join below has an exchange on both sides, whose large partitions Spark can split
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id")).checkpoint()
     members = rooted.join(named, "root").select("fp", "root", "component_id")
     return prints.join(members, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
