@@ -155,7 +155,7 @@ def block_class(text: Column, n_lines: Column, size: Column, body: Column, large
 def body_font_size(lines: DataFrame, keys: list[str]) -> DataFrame:
     """AG-02: the size with most characters; on ties the one met first."""
     by = lines.groupBy(*keys, F.round("size", 1).alias("size")).agg(F.sum(F.length("text")).alias("w"), F.min("line_no").alias("first"))
-    return by.groupBy(*keys).agg(F.max_by("size", F.struct("w", -F.col("first"))).alias("body_size"))
+    return by.groupBy(*keys).agg(F.max_by("size", F.struct("w", -F.col("first"), "size")).alias("body_size"))
 
 
 # --- reading order ----------------------------------------------------------------------------------------------------------

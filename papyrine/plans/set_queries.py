@@ -198,7 +198,7 @@ def document_stats(t: Tables) -> DataFrame:
     return n.join(h, "region").select("region", "n", F.coalesce(F.col("by_method")["view"], F.lit(0)).alias("views"), "passed", F.round(F.col("n") * 2.5 / 1000000, 6).alias("cost"))
 
 
-@query("AG-02", "SELECT page, max_by(size, (w, -first)) AS body_size FROM (SELECT page, round(y1 - y0, 1) AS size, sum(idx) AS w, min(l_partkey) AS first FROM boxes GROUP BY ALL) GROUP BY page", "boxes")
+@query("AG-02", "SELECT page, max_by(size, (w, -first, size)) AS body_size FROM (SELECT page, round(y1 - y0, 1) AS size, sum(idx) AS w, min(l_partkey) AS first FROM boxes GROUP BY ALL) GROUP BY page", "boxes")
 def body_sizes(t: Tables) -> DataFrame:
     lines = t.boxes.select("page", (F.col("y1") - F.col("y0")).alias("size"), F.repeat(F.lit("x"), F.col("idx")).alias("text"), F.col("l_partkey").alias("line_no"))
     return layout.body_font_size(lines, ["page"])
