@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 def ink(grey: np.ndarray, width: int = 1000) -> np.ndarray | None:
@@ -52,3 +54,18 @@ def stretched(grey: np.ndarray, enough: float = 45.0, cut: float = 1.0) -> tuple
     if high <= low:
         return grey, True
     return np.clip((grey - low) * (255 / (high - low)), 0, 255).astype(np.uint8), True
+
+
+def square(values) -> np.ndarray:
+    """Any numbers as a grey image that is about as wide as high: the least is black, the largest white."""
+    x = np.asarray(values, float).ravel()
+    side = max(1, int(np.ceil(np.sqrt(x.size))))
+    low, high = (x.min(), x.max()) if x.size else (0.0, 0.0)
+    grey = np.full(side * side, 255.0)
+    grey[: x.size] = (x - low) * (255 / (high - low)) if high > low else 0.0
+    return grey.reshape(side, side)
+
+
+def data_url(content: Column, kind: str = "image/png") -> Column:
+    """TXT-35: without the line breaks that Spark's base64 may put in."""
+    return F.concat(F.lit(f"data:{kind};base64,"), F.translate(F.base64(content), "\r\n", ""))

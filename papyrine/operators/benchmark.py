@@ -49,6 +49,11 @@ def mean4(c: str) -> Column:
     return F.round(F.avg(c), 4)
 
 
+def printed(c: Column) -> Column:
+    """MT-13: a report's cell; null is '-'."""
+    return F.coalesce(c.cast("string"), F.lit("-"))
+
+
 def summary(rows: DataFrame, columns: tuple[str, ...] = METRICS) -> DataFrame:
     """AG-07, AG-08: by category and (category null) overall: documents, pages, failures, and the mean of each metric."""
     present = [c for c in columns if c in rows.columns]

@@ -90,7 +90,7 @@ def same_site(host: Column, bases: Column) -> Column:
 
 def seeds(lines: DataFrame) -> DataFrame:
     """SRC-11: (file_no, line_no, value) to seeds; the first line of a website counts, over all files."""
-    rows = lines.where((F.trim("value") != "") & ~F.col("value").startswith("#")).withColumn("p", F.transform(F.split("value", "\t"), F.trim))
+    rows = lines.where((F.trim("value") != "") & ~F.col("value").startswith("#")).withColumn("p", F.transform(F.split("value", "\t"), lambda x: F.trim(x)))
     rows = rows.select("file_no", "line_no", F.col("p")[0].alias("id"), F.col("p")[1].alias("sector"), F.col("p")[2].alias("website"), F.coalesce(F.get("p", F.lit(3)), F.lit("")).alias("check"))
     rows = rows.withColumn("host", tx.domain(F.col("website")))
     first = F.row_number().over(W.partitionBy("host").orderBy("file_no", "line_no"))
@@ -250,6 +250,19 @@ def document_kind(pages: DataFrame, key: str) -> DataFrame:
     return made.select(key, F.when(F.col("d") >= F.greatest(F.lit(1.0), 0.6 * F.col("n")), "digital").when(F.col("d") == 0, "scan").otherwise("mixed").alias("kind"))
 
 
+def visible_pages(pages: DataFrame, least: int = 200) -> DataFrame:
+    """FLT-11: pages (chars, invisible) with enough text, of which under a fifth is invisible."""
+    return pages.where((F.col("chars") >= F.greatest(F.lit(least), F.lit(1))) & (F.col("invisible") / F.greatest(F.col("chars"), F.lit(1)) < 0.2))
+
+
+def trusted_pages(pages: DataFrame, blocks: DataFrame, keys: list[str], most: float = 0.02) -> DataFrame:
+    """FLT-11: digital pages without legacy fonts and without a block of 20 characters or more that is garbled. pages: keys, kind,
+    legacy_fonts; blocks: keys, text."""
+    text = tx.strip(F.col("text"))
+    bad = blocks.where((F.length(text) >= 20) & (tx.garbled_ratio(F.col("text")) > most)).select(*keys)
+    return pages.where((F.col("kind") == "digital") & ~F.col("legacy_fonts")).join(bad, keys, "left_anti")
+
+
 def gate(results: DataFrame, tolerance: float = 0.005, least_lines: int = 100) -> DataFrame:
     """FLT-14: results (set, real, system: model or baseline, cer, lines) to one row: passed, decided, failed. Real sets, where there
     are any, decide alone; a set without a model's score or with too few lines fails; no decision fails."""

@@ -132,6 +132,50 @@ def beside_figures(blocks: DataFrame, figures: DataFrame, keys: list[str], gap:
     return blocks.join(figures, condition, "left_semi")
 
 
+def is_math_line(fonts: Column) -> Column:
+    """FLT-05."""
+    return F.exists(fonts, lambda f: F.lower(f).rlike(MATH_FONT))
+
+
+def figure_images(images: DataFrame, tables: DataFrame, keys: list[str], page_area: float) -> DataFrame:
+    """FLT-04: embedded images that are neither background nor decoration (0.2 % to 95 % of the page) nor half inside a table."""
+    own, table = Box.of(), Box.of("t_")
+    condition = own.coverage_by(table) > 0.5
+    for k in keys:
+        condition &= F.col(k) == F.col(f"t_{k}")
+    named = tables.select(*[F.col(c).alias(f"t_{c}") for c in (*keys, "x0", "y0", "x1", "y1")])
+    return images.where(own.area().between(0.002 * page_area, 0.95 * page_area)).join(named, condition, "left_anti")
+
+
+def figure_drawings(items: DataFrame, keys: list[str], page_area: float, most_text: int = 400) -> DataFrame:
+    """FLT-04: drawings that are charts: of 2 % of the page and 40 points a side, in no candidate by half nor half around one, with at
+    most `most_text` characters inside. items: keys, idx, kind (candidate, drawing, line), box, chars. A drawing that is taken is a
+    candidate for those after it, in the order of idx."""
+
+    def share(a: dict, b: dict) -> float:
+        size = max(0.0, a["x1"] - a["x0"]) * max(0.0, a["y1"] - a["y0"])
+        w, h = min(a["x1"], b["x1"]) - max(a["x0"], b["x0"]), min(a["y1"], b["y1"]) - max(a["y0"], b["y0"])
+        return max(0.0, w) * max(0.0, h) / size if size > 0 else 0.0
+
+    def holds(a: dict, b: dict) -> bool:
+        return a["x0"] <= (b["x0"] + b["x1"]) / 2 <= a["x1"] and a["y0"] <= (b["y0"] + b["y1"]) / 2 <= a["y1"]
+
+    def work(page: list[dict]) -> list[dict]:
+        taken = [x for x in page if x["kind"] == "candidate"]
+        lines = [x for x in page if x["kind"] == "line"]
+        out = []
+        for x in sorted((x for x in page if x["kind"] == "drawing"), key=lambda x: x["idx"]):
+            w, h = max(0.0, x["x1"] - x["x0"]), max(0.0, x["y1"] - x["y0"])
+            if w * h < 0.02 * page_area or w < 40 or h < 40 or any(share(x, c) > 0.5 or share(c, x) > 0.5 for c in taken):
+                continue
+            if sum(line["chars"] or 0 for line in lines if holds(x, line)) <= most_text:
+                taken.append(x)
+                out.append(x)
+        return out
+
+    return by_page(items, keys, work, items.schema)
+
+
 def block_class(text: Column, n_lines: Column, size: Column, body: Column, largest: Column, box: Box, page_height: Column, page: Column, math_lines: Column, all_bold: Column, list_lines: Column, near_figure: Column) -> Column:
     """FLT-02: rules in order."""
     short = (F.length(text) <= 150) & (n_lines <= 3)

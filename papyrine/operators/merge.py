@@ -71,7 +71,7 @@ def glued(parts: Column) -> Column:
         hyphen = acc.endswith("-") & (F.lower(first) == first) & (F.upper(first) != first)
         return F.when(hyphen, F.concat(F.substring(acc, F.lit(1), F.length(acc) - 1), part)).otherwise(tx.join_inline(acc, part))
 
-    return F.aggregate(F.transform(parts, F.trim), F.lit(""), step)
+    return F.aggregate(F.transform(parts, lambda x: F.trim(x)), F.lit(""), step)
 
 
 def list_markdown(content: Column) -> Column:

@@ -57,6 +57,17 @@ def _issues(*pairs: tuple[Column, Column | str]) -> Column:
     return F.array_compact(F.array(*[F.when(test, F.lit(said) if isinstance(said, str) else said) for test, said in pairs]))
 
 
+def available(method: Column, engines: tuple[str, ...]) -> Column:
+    """FLT-07: methods that read the file itself are always there, the others if an engine is registered."""
+    return method.isin("pdf_text", "pdf_table", "docx") | method.isin(*engines) if engines else method.isin("pdf_text", "pdf_table", "docx")
+
+
+def evidence(text_layer: Column, trusted: Column) -> Column:
+    """VAL-01: the text to check results against, and whether it is complete: the text layer, else the trusted reading."""
+    layer = F.when(tx.strip(text_layer) != "", text_layer)
+    return F.struct(F.coalesce(layer, trusted, F.lit("")).alias("text"), layer.isNotNull().alias("complete"))
+
+
 def number_issues(candidate: Column, reference: Column, complete: Column) -> Column:
     """VAL-02 on NFKC texts: what the candidate lost or added against the evidence; nothing if the evidence has no numbers."""
     ref, cand = tx.numbers(reference, False), tx.numbers(candidate, False)
@@ -205,3 +216,14 @@ def keep_figure(policy: Column, status: Column, kind: Column, description: Colum
         .when(chart & (F.size(missing) > 0), say(True, F.concat(F.lit("chart labels not printed in the picture: "), F.array_join(F.slice(missing, 1, 3), "; "))))
         .otherwise(say(False, "fully described by text"))
     )
+
+
+def prompt(task: Column, hint: Column, language: Column, prompts: dict[str, str], figure_hint: str, other_hint: str, most: int = 4000) -> Column:
+    """TXT-27: the task's prompt with {language} filled in, then, if there is a hint, the text that introduces it, with {hint} filled in
+    by its first `most` characters."""
+    made = F.lit(None).cast("string")
+    for name, text in prompts.items():
+        made = F.when(task == name, F.lit(text)).otherwise(made)
+    intro = F.when(task.isin("chart", "image"), F.lit(figure_hint)).otherwise(F.lit(other_hint))
+    tail = F.when(F.coalesce(hint, F.lit("")) != "", F.replace(intro, F.lit("{hint}"), F.substring(hint, 1, most))).otherwise("")
+    return F.concat(F.replace(made, F.lit("{language}"), language), tail)

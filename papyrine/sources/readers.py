@@ -22,10 +22,15 @@ SUFFIXES = {
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+def is_supported(path: Column) -> Column:
+    """Whether the path's suffix is known."""
+    known = "|".join(s for group in SUFFIXES.values() for s in group)
+    return F.lower(path).rlike(rf"\.({known})$")
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """SRC-01: supported files below the path with content and sha256; a missing path is an error."""
-    known = "|".join(s for group in SUFFIXES.values() for s in group)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.lower("path").rlike(rf"\.({known})$"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(is_supported(F.col("path")))
     return found.select("path", F.col("length").alias("size_bytes"), "content", F.sha2("content", 256).alias("sha256"), file_format(F.col("content"), F.col("path")).alias("format"))
 
 
