@@ -3,7 +3,6 @@ distances are vectorised Python."""
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections import Counter
 
@@ -77,12 +76,40 @@ def word_error_rate(reference: str, hypothesis: str) -> float:
     return edit_distance(ref, hyp) / len(ref) if ref else float(bool(hyp))
 
 
+def _longest_match(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
+    """(place in x, place in y, length) of the longest run that both hold; of equal ones the first in x, then in y. Row by row: the
+    run that ends at each place of y is one longer than that which ended before it."""
+    best = (0, 0, 0)
+    run = np.zeros(len(y) + 1, np.int32)
+    for i, v in enumerate(x):
+        run[1:] = (run[:-1] + 1) * (y == v)
+        j = int(run.argmax())
+        if run[j] > best[2]:
+            best = (i + 1 - int(run[j]), j - int(run[j]), int(run[j]))
+    return best
+
+
 def closest_stretch(line: str, text: str) -> tuple[int, int] | None:
-    """JN-17: where text resembles line most, if at least half of the line is found."""
-    blocks = difflib.SequenceMatcher(None, line, text, autojunk=False).get_matching_blocks()[:-1]
-    if not blocks or 2 * sum(b.size for b in blocks) < len(line):
+    """JN-17: where text resembles line most, if at least half of the line is found: the longest common run, then the longest before it
+    and after it, and so on; the first of them says where the line would start."""
+    if not line:
+        return None
+    if (at := text.find(line)) >= 0:
+        return at, at + len(line)
+    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (line, text))
+    found, first = 0, None
+    open_ = [(0, len(x), 0, len(y))]
+    while open_:
+        a0, a1, b0, b1 = open_.pop()
+        i, j, n = _longest_match(x[a0:a1], y[b0:b1]) if a0 < a1 and b0 < b1 else (0, 0, 0)
+        if n:
+            i, j = i + a0, j + b0
+            found += n
+            first = min(first or (i, j), (i, j))
+            open_ += [(a0, i, b0, j), (i + n, a1, j + n, b1)]
+    if first is None or 2 * found < len(line):
         return None
-    at = max(0, blocks[0].b - blocks[0].a)
+    at = max(0, first[1] - first[0])
     return at, min(len(text), at + len(line))
 
 

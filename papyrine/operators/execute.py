@@ -71,8 +71,9 @@ def judged(results: DataFrame) -> DataFrame:
         .when(F.col("type").isin("chart", "image", "table"), routing.number_issues(F.col("_content"), F.col("_layer"), F.trim("_layer") != ""))
         .otherwise(routing.text_issues(content, F.col("method"), F.col("confidence"), F.col("agreement"), F.array().cast("array<double>")))
     )
-    made = results.withColumn("v", routing.verdict(F.col("type"), F.col("method"), content, F.col("error"), issues, F.col("confidence")))
-    return made.withColumns({"passed": F.col("v.passed"), "outcome": F.col("v.status"), "score": F.round("v.score", 3), "issues": F.col("v.issues")}).drop("v", "_content", "_layer")
+    # columns of their own: the verdict names its issues in many branches, which don't share what they compute
+    made = results.withColumn("_issues", issues).withColumn("v", routing.verdict(F.col("type"), F.col("method"), content, F.col("error"), F.col("_issues"), F.col("confidence")))
+    return made.withColumns({"passed": F.col("v.passed"), "outcome": F.col("v.status"), "score": F.round("v.score", 3), "issues": F.col("v.issues")}).drop("v", "_issues", "_content", "_layer")
 
 
 def rounds(regions: DataFrame, engines: dict[str, Engine], last: tuple[str, ...] = ("vlm",)) -> tuple[DataFrame, DataFrame]:

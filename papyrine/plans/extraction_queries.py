@@ -51,30 +51,30 @@ def office_targets(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", readers.office_target(path()).alias("target"))
 
 
-@query("SRC-11", """SELECT id, sector, website FROM (SELECT 's' || doc_id AS id, lang AS sector, 'https://www.' || source || '.example/' || doc_id AS website, row_number() OVER (PARTITION BY source ORDER BY doc_id % 2, doc_id) AS rn FROM documents WHERE doc_id % 7 <> 0) WHERE rn = 1""")
+@query("SRC-11", """SELECT id, sector, website FROM (SELECT 's' || doc_id AS id, lang AS sector, 'https://www.' || source || '.example/' || doc_id AS website, row_number() OVER (PARTITION BY source ORDER BY doc_id % 2, doc_id) AS rn FROM documents WHERE lang <> 'es') WHERE rn = 1""")
 def seed_rows(t: Tables) -> DataFrame:
-    """Every seventh line is a comment; two files; the first line of a website counts."""
+    """Spanish lines are comments; two files; the first line of a website counts."""
     line = F.concat_ws("\t", F.concat(F.lit("s"), F.col("doc_id").cast("string")), "lang", F.concat(F.lit("https://www."), F.col("source"), F.lit(".example/"), F.col("doc_id").cast("string")))
-    rows = t.documents.select((F.col("doc_id") % 2).alias("file_no"), F.col("doc_id").alias("line_no"), F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("# "), line)).otherwise(line).alias("value"))
+    rows = t.documents.select((F.col("doc_id") % 2).alias("file_no"), F.col("doc_id").alias("line_no"), F.when(F.col("lang") == "es", F.concat(F.lit("# "), line)).otherwise(line).alias("value"))
     return corpus.seeds(rows).select("id", "sector", "website")
 
 
 @query("SRC-13", """SELECT path, stem, CASE WHEN dir IN ('dev', 'test') THEN dir END AS split, CASE WHEN dir IN ('dev', 'test') THEN source ELSE dir || '/' || source END AS category, lang AS truth FROM (
-  SELECT doc_id, source, lang, ['dev', 'test', 'more'][CAST(doc_id % 3 AS INT) + 1] AS dir, 'd' || doc_id AS stem, ['dev', 'test', 'more'][CAST(doc_id % 3 AS INT) + 1] || '/' || source || '/d' || doc_id || '.pdf' AS path FROM documents) WHERE doc_id % 5 <> 0""")
+  SELECT doc_id, source, lang, ['dev', 'test', 'more'][CAST(doc_id % 3 AS INT) + 1] AS dir, 'd' || doc_id AS stem, ['dev', 'test', 'more'][CAST(doc_id % 3 AS INT) + 1] || '/' || source || '/d' || doc_id || '.pdf' AS path FROM documents) WHERE lang <> 'es'""")
 def truth_pairs(t: Tables) -> DataFrame:
-    """A fifth of the documents have no ground truth."""
+    """Spanish documents have no ground truth."""
     folder = F.element_at(F.array(F.lit("dev"), F.lit("test"), F.lit("more")), (F.col("doc_id") % 3 + 1).cast("int"))
     stem = F.concat_ws("/", folder, "source", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
     docs = t.documents.select(F.concat(stem, F.lit(".pdf")).alias("path"), F.lit(None).cast("string").alias("text"))
-    truth = t.documents.where(F.col("doc_id") % 5 != 0).select(F.concat(stem, F.lit(".gt.md")).alias("path"), F.col("lang").alias("text"))
+    truth = t.documents.where("lang <> 'es'").select(F.concat(stem, F.lit(".gt.md")).alias("path"), F.col("lang").alias("text"))
     return benchmark.dataset(docs.unionByName(truth)).select("path", "stem", "split", "category", "truth")
 
 
-@query("SRC-14", r"SELECT source || '/' || doc_id AS path, lang || ' x' AS text FROM documents WHERE doc_id % 4 <> 0")
+@query("SRC-14", r"SELECT source || '/' || doc_id AS path, lang || ' x' AS text FROM documents WHERE lang <> 'es'")
 def labelled(t: Tables) -> DataFrame:
-    """Every fourth line lacks its text."""
+    """Spanish lines lack their text."""
     name = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
-    return readers.labelled_lines(t.documents.select(F.when(F.col("doc_id") % 4 == 0, name).otherwise(F.concat(name, F.lit("\t "), F.col("lang"), F.lit("  x"))).alias("value")))
+    return readers.labelled_lines(t.documents.select(F.when(F.col("lang") == "es", name).otherwise(F.concat(name, F.lit("\t "), F.col("lang"), F.lit("  x"))).alias("value")))
 
 
 @query("SRC-15", """SELECT 'u' || user_id AS log, round(median(v), 6) AS ips, count(*) AS n FROM (SELECT user_id, event_id % 1000 / 10 AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events WHERE event_type <> 'error') WHERE rn > 3 GROUP BY user_id""")

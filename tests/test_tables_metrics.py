@@ -1,5 +1,9 @@
+import difflib
+
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from papyrine.functions import charsets, charts, images, metrics, tables
@@ -105,3 +109,14 @@ def test_images():
 def test_rendered_html_without_python(spark):
     df = spark.range(1).select(tables.html_of(F.array(F.array(F.lit("a"), F.lit("b<")), F.array(F.lit("1\n2"), F.lit("")))).alias("h"))
     assert df.first().h == "<table><tr><th>a</th><th>b&lt;</th></tr><tr><td>1<br>2</td><td></td></tr></table>" and tx is not None
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab c", max_size=25), st.text("ab cé", max_size=80))
+def test_closest_stretch_as_sequence_matcher(line, text):
+    blocks = difflib.SequenceMatcher(None, line, text, autojunk=False).get_matching_blocks()[:-1]
+    want = None
+    if blocks and 2 * sum(b.size for b in blocks) >= len(line):
+        at = max(0, blocks[0].b - blocks[0].a)
+        want = at, min(len(text), at + len(line))
+    assert metrics.closest_stretch(line, text) == want
