@@ -70,18 +70,23 @@ def evidence(text_layer: Column, trusted: Column) -> Column:
 
 def number_issues(candidate: Column, reference: Column, complete: Column) -> Column:
     """VAL-02 on NFKC texts: what the candidate lost or added against the evidence; nothing if the evidence has no numbers."""
-    ref, cand = tx.numbers(reference, False), tx.numbers(candidate, False)
-    recall, precision = tx.multiset_recall(ref, cand), tx.multiset_recall(cand, ref)
     signs = F.array_distinct(F.regexp_extract_all(reference, F.lit(f"[{tx.SPECIAL}]"), F.lit(0)))
     times = lambda c, s: F.length(c) - F.length(F.replace(c, s, F.lit("")))
-    lost = F.filter(signs, lambda s: times(candidate, s) < times(reference, s))
     least = SETTINGS["number_match_min"]
-    found = _issues(
-        (recall < least, F.concat(F.lit("numbers missing vs source ("), percent(recall), F.lit(" matched)"))),
-        (complete & (F.size(cand) > 0) & (precision < least), F.concat(F.lit("numbers not present in source ("), percent(precision), F.lit(" supported)"))),
-        (complete & (F.size(lost) > 0), F.concat(F.lit("special characters lost: "), F.array_join(lost, ""))),
-    )
-    return F.when(F.size(ref) == 0, _strings()).otherwise(found)
+
+    def shares(x: Column) -> Column:
+        lost = F.when(complete, F.filter(signs, lambda s: times(candidate, s) < times(reference, s)))
+        return F.struct(tx.multiset_recall(x.ref, x.cand).alias("recall"), F.when(complete & (F.size(x.cand) > 0), tx.multiset_recall(x.cand, x.ref)).alias("precision"), lost.alias("lost"))
+
+    def issues(x: Column) -> Column:
+        return _issues(
+            (x.recall < least, F.concat(F.lit("numbers missing vs source ("), percent(x.recall), F.lit(" matched)"))),
+            (x.precision < least, F.concat(F.lit("numbers not present in source ("), percent(x.precision), F.lit(" supported)"))),
+            (F.coalesce(F.size(x.lost), F.lit(0)) > 0, F.concat(F.lit("special characters lost: "), F.array_join(x.lost, ""))),
+        )
+
+    numbers = F.struct(tx.numbers(reference, False).alias("ref"), tx.numbers(candidate, False).alias("cand"))
+    return tx.let(numbers, lambda x: F.when(F.size(x.ref) == 0, _strings()).otherwise(tx.let(shares(x), issues)))
 
 
 def text_issues(content: Column, method: Column, confidence: Column, agreement: Column, line_scores: Column) -> Column:
