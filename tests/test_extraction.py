@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from papyrine.operators import benchmark, corpus, layout, merge, routing
+from papyrine.sources import writers
+from papyrine.streaming import jobs
 
 ITEM = "page int, idx int, kind string, x0 double, y0 double, x1 double, y1 double, chars int"
 
@@ -88,3 +90,27 @@ def test_digits_at_the_ends_stay(spark):
 def test_printed(spark):
     rows = spark.createDataFrame([(0.5,), (None,)], "x double")
     assert [r[0] for r in rows.select(benchmark.printed(F.col("x"))).collect()] == ["0.5", "-"]
+
+
+def test_writers(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "# A", 1), ("b", None, 2)], "stem string, markdown string, pages int")
+    for _ in range(2):  # written again, not twice
+        writers.write_outputs(docs, str(tmp_path / "out"))
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out/markdown")).collect()} == {("a", "# A"), ("b", None)}
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out/json")).collect()) == ['{"stem":"a","pages":1}', '{"stem":"b","pages":2}']
+    items = spark.createDataFrame([("u1", "dev", "x"), ("u2", "test", "y")], "url string, split string, category string")
+    writers.write_manifest(items, str(tmp_path / "manifest"))
+    assert {tuple(r) for r in spark.read.json(str(tmp_path / "manifest")).select("url", "split", "category").collect()} == {("u1", "dev", "x"), ("u2", "test", "y")}
+    log = docs.select("stem").withColumnRenamed("stem", "value")
+    for _ in range(2):
+        writers.append_route_log(log, str(tmp_path / "log"))
+    assert spark.read.text(str(tmp_path / "log")).count() == 4
+
+
+def test_stream_log_is_written_once(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    spark.createDataFrame([(1, "x")], "id int, v string").write.parquet(source)
+    for _ in range(2):  # the second run finds nothing new
+        rows = spark.readStream.schema("id int, v string").parquet(source)
+        jobs.append_log(rows, out, state).awaitTermination(60)
+    assert [tuple(r) for r in spark.read.json(out).select("id", "v").collect()] == [(1, "x")]
