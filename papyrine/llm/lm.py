@@ -10,8 +10,9 @@ Context vectors of both places are projected, added and multiplied with the clas
 normaliser of all pairs of contexts is one product of two matrices, computed once in a task. Every token gets a normalised
 log-probability.
 
-The neural parameters are fitted on at most `examples` positions, drawn evenly by hash from all training texts; all counts and
-class totals cover all training texts.
+The neural parameters are fitted on every position of all training texts: started on about `examples` positions drawn by hash,
+they go to all tasks, each takes NCE steps over all positions of its own texts, and the tasks' parameters are averaged by their
+positions. So do all counts and class totals cover all training texts.
 
 Edge cases: null and empty texts are one end token; without training rows every base probability is 1 (one unseen word);
 rows with a null doc_id are scored, not held out and not learnt from.
@@ -34,6 +35,8 @@ from .common import fold_of, written
 #: The end token's word in the table; no word holds white space.
 END = b"\n"
 CORE, CLASSES = 1023, 160
+#: Positions that a task holds, shuffles and trains on at once.
+CHUNK = 1 << 18
 ADD = 0.1
 
 
@@ -41,6 +44,21 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+class Classes(dict):
+    """The class of each word, kept for a bounded number of words."""
+
+    def __init__(self, model: Model):
+        self.model = model
+
+    def __missing__(self, word: bytes) -> int:
+        k = self.model.class_of(word)
+        if len(word) <= vocab.HEAD_BYTES:
+            if len(self) >= vocab.FLUSH:
+                self.clear()
+            self[word] = k
+        return k
+
+
 @dataclass
 class Model:
     """vectors: R (classes x size); left and right: projections of the tokens one and two places back; bias: of the classes.
@@ -57,6 +75,9 @@ class Model:
         k = self.core.get(word)
         return self.endings.get(word[-2:], len(self.bias) - 1) if k is None else k
 
+    def classes(self) -> Classes:
+        return Classes(self)
+
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """one[u, w], two[v, w] and normaliser[u, v] so that log p(w | u one back, v two back) = one + two - normaliser."""
         one = (self.vectors @ self.left) @ self.vectors.T + self.bias
@@ -66,50 +87,54 @@ class Model:
         return one.astype(np.float32), two.astype(np.float32), (np.log(z) + top + top2.T).astype(np.float32)
 
 
-def train(triples: np.ndarray, totals: np.ndarray, size: int = 32, noise: int = 64, passes: int = 4, batch: int = 2048, rate: float = 0.1, seed: int = 7):
+def untrained(totals: np.ndarray, size: int = 32, seed: int = 7) -> list[np.ndarray]:
+    """vectors, left, right and bias before training, and AdaGrad's memory of each."""
+    rng = np.random.default_rng(seed)
+    p = (totals + 1.0) / (totals + 1.0).sum()
+    made = [rng.normal(0, 0.1, shape).astype(np.float32) for shape in ((len(totals), size), (size, size), (size, size))] + [np.log(p).astype(np.float32)]
+    return made + [np.full(x.shape, 1e-2, np.float32) for x in made]
+
+
+def summed(rows: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """For each of n places the sum of its rows."""
+    width = rows.shape[1]
+    cells = np.multiply(place, width, dtype=np.intp)[:, None] + np.arange(width)
+    return np.bincount(cells.ravel(), rows.ravel(), n * width).reshape(n, width).astype(np.float32)
+
+
+def train(triples: np.ndarray, totals: np.ndarray, size: int = 32, noise: int = 64, passes: int = 4, batch: int = 2048, rate: float = 0.1, seed: int | list[int] = 7, state: list[np.ndarray] | None = None):
     """NCE over rows (one back, two back, class): each batch is told apart from `noise` classes drawn for the batch from the
-    unigram; AdaGrad. totals: how often each class occurs in all training texts."""
+    unigram; AdaGrad. totals: how often each class occurs in all training texts. A state is trained further in place."""
     rng = np.random.default_rng(seed)
     n = len(totals)
     p = (totals + 1.0) / (totals + 1.0).sum()
-    vectors = rng.normal(0, 0.1, (n, size)).astype(np.float32)
-    left, right = (rng.normal(0, 0.1, (size, size)).astype(np.float32) for _ in range(2))
-    log_p = np.log(p).astype(np.float32)
-    bias = log_p.copy()
-    seen = [np.full(x.shape, 1e-2, np.float32) for x in (vectors, left, right, bias)]
-
-    def step(x, gradient, memory, at=None):
-        if at is None:
-            memory += gradient**2
-            x -= rate * gradient / np.sqrt(memory)
-        else:
-            memory[at] += gradient**2
-            x[at] -= rate * gradient / np.sqrt(memory[at])
-
+    state = untrained(totals, size, seed) if state is None else state
+    vectors, left, right, bias = state[:4]
+    log_p, drawn_at = np.log(p).astype(np.float32), p.cumsum() / p.sum()
     shift = np.float32(math.log(noise))
+    places = triples.astype(np.int16 if n < 1 << 15 else np.int32)  # short ones are sorted by radix
     for _ in range(passes):
         order = rng.permutation(len(triples))
         for start in range(0, len(order), batch):
-            u, v, w = triples[order[start : start + batch]].T
-            drawn = rng.choice(n, noise, p=p)
-            cu, cv = vectors[u], vectors[v]
-            q = cu @ left + cv @ right
-            good = (q * vectors[w]).sum(1) + bias[w] - log_p[w] - shift
-            bad = q @ vectors[drawn].T + bias[drawn] - log_p[drawn] - shift
-            g = (1 / (1 + np.exp(-good)) - 1) / len(u)
-            b = 1 / (1 + np.exp(-bad)) / len(u)
-            dq = g[:, None] * vectors[w] + b @ vectors[drawn]
-            where = np.concatenate([w, drawn, u, v])
-            what = np.concatenate([g[:, None] * q, b.T @ q, dq @ left.T, dq @ right.T])
-            rows, place = np.unique(where, return_inverse=True)
-            by = np.argsort(place, kind="stable")
-            cuts = np.searchsorted(place[by], np.arange(len(rows)))
-            step(left, cu.T @ dq, seen[1])
-            step(right, cv.T @ dq, seen[2])
-            step(vectors, np.add.reduceat(what[by], cuts), seen[0], rows)
-            on_bias = np.bincount(w, g, n) + np.bincount(drawn, b.sum(0), n)
-            at = np.flatnonzero(on_bias)
-            step(bias, on_bias[at].astype(np.float32), seen[3], at)
+            u, v, w = np.ascontiguousarray(places[order[start : start + batch]].T)
+            drawn = drawn_at.searchsorted(rng.random(noise), side="right")
+            # Classes are projected once, not at each position, and gradients are added up for each class before they are projected.
+            q = (vectors @ left).take(u, 0) + (vectors @ right).take(v, 0)
+            goal, others = vectors.take(w, 0), vectors[drawn]
+            good = np.einsum("ij,ij->i", q, goal) + (bias - log_p - shift).take(w)
+            bad = q @ others.T + (bias[drawn] - log_p[drawn] - shift)
+            g = (1 / (1 + np.exp(-good)) - 1) / np.float32(len(u))
+            np.exp(np.negative(bad, out=bad), out=bad)
+            bad += 1
+            b = np.divide(np.float32(1 / len(u)), bad, out=bad)
+            dq = g[:, None] * goal + b @ others
+            by_u, by_v = summed(dq, u, n), summed(dq, v, n)
+            on_vectors = summed(g[:, None] * q, w, n) + by_u @ left.T + by_v @ right.T
+            np.add.at(on_vectors, drawn, (q.T @ b).T)
+            on_bias = (np.bincount(w, g, n) + np.bincount(drawn, b.sum(0), n)).astype(np.float32)
+            for x, gradient, memory in zip(state[:4], (on_vectors, vectors.T @ by_u, vectors.T @ by_v, on_bias), state[4:], strict=True):
+                memory += gradient**2
+                x -= rate * gradient / np.sqrt(memory)
     return vectors, left, right, bias
 
 
@@ -141,29 +166,71 @@ def fit(docs: DataFrame, train_rows: Column, examples: int = 1_000_000, core_siz
     totals = np.array([head.get(w, (0,))[0] for w in core] + [inside[k][0] for k in range(len(core), size)], np.float64)
     model = Model(core, endings, *(np.zeros(0, np.float32),) * 3, np.zeros(size, np.float32))
     triples = sampled(docs.where(train_rows), model, n_tokens, examples)
-    model.vectors, model.left, model.right, model.bias = train(triples, totals)
+    state = untrained(totals)
+    train(triples, totals, state=state)
+    (model.vectors, model.left, model.right, model.bias), _ = trained(docs.where(train_rows), model, totals, state)
     return model, table, head, int(n_tokens), int(n_words), {k: tuple(x) for k, x in inside.items()}
 
 
-def contexts(model: Model, words: list[bytes]) -> np.ndarray:
+def contexts(classes: Classes, words: list[bytes]) -> np.ndarray:
     """Rows (one back, two back, class) for each token."""
-    k = np.fromiter(map(model.class_of, words), np.int32, len(words))
+    k = np.fromiter(map(classes.__getitem__, words), np.int32, len(words))
     out = np.zeros((len(k), 3), np.int32)
     out[:, 2] = k
     out[1:, 0], out[2:, 1] = k[:-1], k[:-2]
     return out
 
 
+def trained(docs: DataFrame, model: Model, totals: np.ndarray, state: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """(vectors, left, right and bias, positions): each task trains the state on every position of its texts; the means of the
+    tasks' parameters, weighted by positions. Sums are made on executors, so the driver's part doesn't grow with the input."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, totals, state))
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        model, totals, state = shared.value
+        own, classes, part = [x.copy() for x in state], model.classes(), TaskContext.get().partitionId()
+        held, size, n, turn = [], 0, 0, 0
+
+        def learn():
+            train(np.concatenate(held), totals, passes=1, seed=[part, turn], state=own)
+            held.clear()
+
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                held.append(contexts(classes, tokens(text or b"")))
+                size += len(held[-1])
+                if size >= CHUNK:
+                    learn()
+                    n, size, turn = n + size, 0, turn + 1
+        if held:
+            learn()
+        if n + size:
+            yield pa.RecordBatch.from_arrays([pa.array([n + size], pa.int64()), pa.array([np.concatenate([x.ravel() for x in own[:4]]).tobytes()], pa.binary())], names=["n", "parameters"])
+
+    def add(a, b):
+        return b if a is None else a if b is None else (a[0] + b[0], a[1] + b[1])
+
+    made = docs.select("text").mapInArrow(run, "n long, parameters binary").rdd
+    got = made.map(lambda r: (r[0], r[0] * np.frombuffer(r[1], np.float32).astype(np.float64))).treeAggregate(None, add, add)
+    if got is None:
+        return state[:4], 0
+    cuts = np.cumsum([x.size for x in state[:3]])
+    return [x.reshape(y.shape).astype(np.float32) for x, y in zip(np.split(got[1] / got[0], cuts), state[:4], strict=True)], got[0]
+
+
 def sampled(docs: DataFrame, model: Model, n_tokens: int, examples: int) -> np.ndarray:
-    """About `examples` context rows: of a hashed share of the texts, a share of the positions spread over the whole text."""
+    """About `examples` context rows to start from: of a hashed share of the texts, a share of the positions spread over the whole text."""
     share = min(1.0, examples / max(1, n_tokens))
     of_texts = min(1.0, share * 8)
     step = max(1, round(of_texts / share))
     picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < int(of_texts * (1 << 20)) + (of_texts == 1.0)).select("text")
 
     def run(batches):
+        classes = model.classes()
         for batch in batches:
-            rows = [contexts(model, tokens(x or b""))[i % step :: step] for i, x in enumerate(batch.column(0).cast(pa.binary()).to_pylist())]
+            rows = [contexts(classes, tokens(x or b""))[i % step :: step] for i, x in enumerate(batch.column(0).cast(pa.binary()).to_pylist())]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(rows).tobytes()], pa.binary())], names=["rows"])
 
@@ -188,13 +255,13 @@ def score(docs: DataFrame, modulus: int = 10, examples: int = 1_000_000) -> Data
         arrow_id = to_arrow_schema(id_schema).field(0).type
         model, logs = shared.value
         one, two, normaliser = model.tables()
-        ids = vocab.row_ids()
+        ids, classes = vocab.row_ids(), model.classes()
         add = np.array([within.get(k, 0.0) for k in range(len(model.bias))])
         for batch in batches:
             out = {c: [] for c in ("rid", "word", "f", "at", "n", "known", "base", "score")}
             for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                 own, words = next(ids), tokens(text or b"")
-                u, v, w = contexts(model, words).T
+                u, v, w = contexts(classes, words).T
                 neural = float((one[u, w] + two[v, w] - normaliser[u, v]).sum(dtype=np.float64)) / math.log(10)
                 neural -= float(add[w].sum())  # 0 for the core
                 base, known, inner = -len(words) * bottom, 0, 0.0

@@ -1,8 +1,10 @@
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from papyrine.llm import lm
 
@@ -62,3 +64,16 @@ def test_held_out_texts_score_better_than_the_unigram(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [r for r in lm.score(docs).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_every_position_trains(spark):
+    r = random.Random(5)
+    texts = [" ".join(w for _ in range(400) for w in [r.choice("abcdefgh")] for w in (w, w.upper() * 2)) for _ in range(400)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model, _, head, n, _, _ = lm.fit(docs, F.lit(True), examples=20)
+    totals = np.array([head[w][0] for w in model.core] + [0] * (len(model.bias) - len(model.core)), float)
+    assert lm.trained(docs, model, totals, lm.untrained(totals))[1] == n == 800 * 400 + 402
+    one, two, z = model.tables()
+    u, v, w = np.concatenate([lm.contexts(model.classes(), lm.tokens((t or "").encode())) for t in texts]).T
+    # A start of 20 positions knows nothing; that "aa" follows "a" is learnt from all the others.
+    assert (one[u, w] + two[v, w] - z[u, v]).mean() > np.log(totals[w] / totals.sum()).mean() + 0.5
