@@ -1,10 +1,12 @@
 """Secrets in texts: three exact patterns, and strings that a primed zstandard compressor finds new.
 
 Base spans (kinds assign, access, hex) are the leftmost non-overlapping matches of each pattern that are long enough. The method
-adds spans of kind `novel`: a candidate is a run of 16 or more key characters with a letter and a digit that follows
-a sensitive word (password, token, credential, ...) within 64 characters. Its surroundings are compressed with and without it by
+adds spans of kind `novel`: a candidate is a run of 16 or more key characters with a letter and a digit in whose surroundings (256
+characters before, 128 after) there is a sensitive word (password, token, credential, ...), or that adjoins such a candidate with no
+letter or digit between them, as the lines of a key do. The surroundings are compressed with and without it by
 zstandard primed with a dictionary of code and identifiers; the extra bytes over its length tell how little the dictionary and
-the surroundings explain of it. From `novelty` on it is reported, unless a base span overlaps it.
+the surroundings explain of it. From `novelty` on it is reported, unless a base span overlaps it. In a private key block (BEGIN to END
+line) with a candidate reported, all other lines of key characters alone are reported too, however short.
 
 Offsets count code points, ends are exclusive. Edge cases: null and empty texts have no spans; repeated rows stay.
 """
@@ -36,7 +38,11 @@ AWS_ACCESS_KEY_ID AWS_SECRET_ACCESS_KEY AWS_REGION us-east-1 eu-west-1 DATABASE_
 get_or_create update_all delete_by_id handler_function_name request_handler response_handler error_handler connection_pool max_retries timeout_seconds
 2020-01-01T00:00:00Z 2024-12-31 0123456789 1234567890 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 00000000-0000-0000-0000-000000000000
 version_number_v1.0.0 release-candidate example_test_value placeholder_key_here your-token-here xxxxxxxxxxxxxxxx ----------------"""
-BEFORE, AFTER, NEAR = 256, 128, 64
+BEFORE, AFTER = 256, 128
+#: What may stand between adjoining candidates.
+BETWEEN = re.compile("[^A-Za-z0-9]*")
+BLOCK = re.compile("-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----((?:(?!-----BEGIN).)*?)-----END ", re.S)
+LINE = re.compile(r"^[^\S\n]*([A-Za-z0-9+/_=.-]+)[^\S\n]*$", re.M)
 
 
 @lru_cache(maxsize=1)
@@ -64,10 +70,18 @@ def spans(text: str | None, threshold: float = 0.6) -> list[tuple[int, int, int]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base = sorted(found)
     if DIGIT.search(text):
+        reach = None  # the end of the last candidate in sensitive context
         for m in CANDIDATE.finditer(text):
             a, b = m.span()
-            if SENSITIVE.search(text, max(0, a - NEAR), a) and not any(x < b and a < y for x, _, y in base) and novelty(text[max(0, a - BEFORE) : a], m[0], text[b : b + AFTER]) >= threshold:
-                found.append((a, 3, b))
+            if (reach is not None and BETWEEN.fullmatch(text, reach, a)) or SENSITIVE.search(text, max(0, a - BEFORE), a) or SENSITIVE.search(text, b, b + AFTER):
+                reach = b
+                if not any(x < b and a < y for x, _, y in base) and novelty(text[max(0, a - BEFORE) : a], m[0], text[b : b + AFTER]) >= threshold:
+                    found.append((a, 3, b))
+        if "PRIVATE KEY" in text:
+            for block in BLOCK.finditer(text):
+                own = [s for s in found if block.start(1) <= s[0] < block.end(1)]
+                if any(k == 3 for _, k, _ in own):
+                    found += [(m.start(1), 3, m.end(1)) for m in LINE.finditer(text, *block.span(1)) if not any(x < m.end(1) and m.start(1) < y for x, _, y in own)]
     return sorted(found)
 
 
