@@ -5,9 +5,9 @@ to those letters (l, i, 1 and ! are one letter). An Aho-Corasick automaton finds
 text; terms inside an exception phrase don't count. The summed weights, by themselves and over the text's length, go
 through a logistic function.
 
-The lexicon is learnt from a bounded sample of labelled training documents (rows_per_class of each label, near copies taken once): of
-the words with the highest smoothed log-odds over document counts made in Spark, those whose log-likelihood ratio is beyond
-what chance gives to the best of a vocabulary become terms; the weights are the log-odds, and the logistic is fitted on the
+The lexicon is learnt from a bounded sample of labelled training documents (rows_per_class of each label, near copies taken once):
+over document counts made in Spark, all words whose log-likelihood ratio is beyond what chance gives to the best of a vocabulary
+and whose share of toxic documents is at least 8 times that of others become terms; the weights are the log-odds, and the logistic is fitted on the
 sample. Phrases of a term and the word before or after that occur in documents without the label only are learnt as exceptions.
 
 Edge cases: null and empty texts have no words and get the score of no match; without labels of both kinds every score is
@@ -25,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_of, labelled_sample, written
@@ -112,8 +112,9 @@ def features(automaton, text: str | None) -> tuple[float, float, int]:
     return math.log1p(total), math.log1p(100 * total / max(1, n_words(text))), len(found)
 
 
-def candidate_terms(sample: DataFrame, size: int, least: int) -> list[tuple[str, int, int]]:
-    """(word, toxic documents, other documents): the `size` words of the highest log-odds in at least `least` toxic documents."""
+def terms_of(sample: DataFrame, n_bad: int, n_good: int, least: int) -> list[tuple[str, int, int]]:
+    """(word, toxic documents, other documents) of every word in at least `least` toxic documents that passes both tests; the sample
+    bounds their number."""
 
     def run(batches):
         for batch in batches:
@@ -125,8 +126,8 @@ def candidate_terms(sample: DataFrame, size: int, least: int) -> list[tuple[str,
 
     words = sample.select("text", "label").mapInArrow(run, "word string, label int, n long")
     by = words.groupBy("word").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("good"))
-    odds = F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5))
-    return [tuple(r) for r in by.where((F.col("bad") >= least) & (F.length("word") >= 3)).orderBy(odds.desc(), F.desc("bad"), "word").limit(size).collect()]
+    by = by.where((F.col("bad") >= least) & (F.length("word") >= 3) & (F.col("bad") * n_good >= F.col("good") * 8 * n_bad))
+    return [tuple(r) for r in by.where(significant(F.col("bad"), F.col("good"), n_bad, n_good) >= RATIO).orderBy("word").collect()]
 
 
 def sketch(text: bytes, shingle: int = 5, bands: int = 8, rows: int = 4) -> list[int]:
@@ -162,13 +163,12 @@ def distinct_texts(sample: DataFrame) -> DataFrame:
     return sample.join(F.broadcast(ids), "doc_id", "left_semi")
 
 
-def significant(bad: int, good: int, n_bad: int, n_good: int) -> float:
+def significant(bad: Column, good: Column, n_bad: int, n_good: int) -> Column:
     """The log-likelihood ratio of a word's documents by label against none; 0 for words that toxic documents have less often."""
     n, total = bad + good, n_bad + n_good
-    if bad * total <= n * n_bad:
-        return 0.0
     parts = ((bad, n * n_bad), (good, n * n_good), (n_bad - bad, (total - n) * n_bad), (n_good - good, (total - n) * n_good))
-    return 2 * sum(o * math.log(o * total / e) for o, e in parts if o)
+    ratio = sum((F.when(o > 0, o * F.log(o * total / e)).otherwise(0.0) for o, e in parts), F.lit(0.0))
+    return F.when(bad * total <= n * n_bad, 0.0).otherwise(2 * ratio)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 0.05) -> np.ndarray:
@@ -184,7 +184,7 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 0.05)
     return w
 
 
-def learn(docs: DataFrame, marks: DataFrame, modulus: int = 5, rows_per_class: int = 5000, size: int = 400, least: int = 3) -> Lexicon:
+def learn(docs: DataFrame, marks: DataFrame, modulus: int = 5, rows_per_class: int = 5000, least: int = 3) -> Lexicon:
     """The lexicon from labelled rows whose crc32(doc_id) isn't 0 modulo `modulus`; at most rows_per_class of each label."""
     sample = written(labelled_sample(docs, marks, "toxic", rows_per_class, fold_of("doc_id", modulus) != 0), "labelled")
     sample = written(distinct_texts(sample), "distinct")
@@ -193,7 +193,7 @@ def learn(docs: DataFrame, marks: DataFrame, modulus: int = 5, rows_per_class: i
     if not n_bad or not n_good:
         rate = n_bad / (n_bad + n_good) if of_label else 0.0
         return Lexicon(coefficients=(math.log((rate + 1e-9) / (1 - rate + 1e-9)), 0.0, 0.0))
-    found = [(t, b, g) for t, b, g in candidate_terms(sample, size, least) if significant(b, g, n_bad, n_good) >= RATIO and b * n_good >= 8 * g * n_bad]
+    found = terms_of(sample, n_bad, n_good, least)
     weights = {t: math.log((b + 0.5) / (n_bad + 1)) - math.log((g + 0.5) / (n_good + 1)) for t, b, g in found}
     lexicon = Lexicon(weights, EXCEPTIONS + exceptions(sample, [t for t, _, g in found if g]))
     fitted = fitted_features(sample, lexicon)
@@ -215,7 +215,7 @@ def exceptions(sample: DataFrame, terms: list[str], least: int = 3) -> tuple[str
                 yield pa.RecordBatch.from_arrays([pa.array(sorted(pairs), pa.string()), pa.array([label] * len(pairs), pa.int32())], names=["pair", "label"])
 
     pairs = sample.select("text", "label").mapInArrow(run, "pair string, label int").groupBy("pair").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n"))
-    return tuple(r[0] for r in pairs.where((F.col("bad") == 0) & (F.col("n") >= least)).orderBy(F.desc("n"), "pair").limit(200).collect())
+    return tuple(r[0] for r in pairs.where((F.col("bad") == 0) & (F.col("n") >= least)).orderBy(F.desc("n"), "pair").collect())
 
 
 def fitted_features(sample: DataFrame, lexicon: Lexicon) -> np.ndarray:

@@ -1,3 +1,6 @@
+import itertools
+import random
+
 from papyrine.llm import toxicity as tx
 
 
@@ -38,6 +41,15 @@ def test_learns_and_generalises(spark):
     assert {r.held_out for r in rows} == {True, False}
 
 
+def test_every_significant_word_is_a_term(spark):
+    r = random.Random(9)
+    words = ["".join(x) for x in itertools.islice(itertools.product("abcdefgh", repeat=4), 0, 4050, 9)]
+    plain = ["".join(x) for x in itertools.product("mnpqrsuv", repeat=3)]
+    rows = [(i, " ".join(r.sample(plain, 60) + (r.sample(words, 225) if i < 150 else [])), int(i < 150)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert len(words) == 450 and set(tx.learn(docs, docs).weights) == {tx.fold(w) for w in words}
+
+
 def test_copies_count_once(spark):
     long = " ".join(f"w{k}" for k in range(200))
     copies = [(i, f"{long} tail{i}") for i in range(50)]
