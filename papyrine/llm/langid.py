@@ -4,7 +4,7 @@ Every text is cut into windows of `length` bytes (the last one ends with the tex
 width the network has filters over that many bytes, whose first layer is a table of the 256 bytes for each place of the filter;
 each filter's maximum over the window, through a ramp, goes to a softmax over the languages learnt. The probabilities of a text are the
 means over its windows, weighted by the bytes that a window adds. Training is Adam in numpy on windows spread evenly over
-a bounded sample of labelled documents (`per_language` of each, the `languages` most frequent languages at most).
+documents of every language that labels name, about `per_language` of each.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; a short text is one padded window; without training rows
 every text is `und`; rows with a null doc_id are predicted, not held out and not learnt from.
@@ -113,17 +113,16 @@ def train(windows: np.ndarray, classes: np.ndarray, languages: list[str], passes
     return net
 
 
-def learn(docs: DataFrame, modulus: int = 4, held: int = 2, per_language: int = 400, languages: int = 200, windows: int = 6) -> Network | None:
+def learn(docs: DataFrame, modulus: int = 4, held: int = 2, per_language: int = 400, windows: int = 6) -> Network | None:
     """The network from documents whose crc32(doc_id) isn't `held` modulo `modulus`: at most per_language documents of each
     language, and at most `windows` windows of each, spread over the whole text."""
     rows = docs.select("doc_id", "text", "lang").where((fold_of("doc_id", modulus) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    sizes = rows.groupBy("lang").count().collect()
     if not sizes:
         return None
-    share = F.lit(0)
-    for lang, n in sizes:
-        share = F.when(F.col("lang") == lang, int(min(1.0, 1.2 * per_language / n + 8 / n) * (1 << 30))).otherwise(share)
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < share)
+    shares = [(lang, int(min(1.0, 1.2 * per_language / n + 8 / n) * (1 << 30))) for lang, n in sizes]
+    known = docs.sparkSession.createDataFrame(shares, f"lang {docs.schema['lang'].dataType.simpleString()}, share long")
+    picked = rows.join(F.broadcast(known), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < F.col("share")).select("doc_id", "text", "lang")
     cap = per_language * len(sizes) * 2
 
     def run(batches):

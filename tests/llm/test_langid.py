@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 
@@ -43,6 +44,12 @@ def test_held_out_accuracy(spark):
     assert all(np.array_equal(a, b) for a, b in zip(net.tables, again.tables, strict=True))
 
 
+def test_every_language_is_learnt(spark):
+    rows = [(i, f"text {i} of l{i % 230}", f"l{i % 230}") for i in range(920)]
+    net = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert net.languages == sorted({lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2}) and len(net.languages) > 200
+
+
 def test_edge_cases(odd, none, spark):
     net = langid.learn(corpus(spark))
     for r, x in zip(langid.predict(odd, net).collect(), odd.collect(), strict=True):
