@@ -1,7 +1,7 @@
 """The corpus pipeline: documents through five operators, each stage's result written as Parquet and read by the next.
 
 quality rules drop junk; SimHash near-dedup keeps one document of each group; secret scans mask secrets; mixing emits each
-document as often as its source's rate says; byte-level BPE encodes what is left. Each stage learns, where it does, from its own
+document as often as its source's rate says; byte-level BPE encodes what is left and decodes it again. Each stage learns, where it does, from its own
 input and the labels. Stages take and return DataFrames; the columns of documents, and any others, pass through all but the last.
 
 Edge cases: those of the operators; a null text fails the quality rules (fewer than 10 words), an empty table stays empty.
@@ -36,11 +36,11 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, the ids of the text, and their number."""
+    """doc_id, the ids of the text, their number, and the digest of the bytes decoded from them."""
     import public_tokenizers
 
-    made = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    made = bpe.encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [

@@ -148,6 +148,22 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, data binary")
 
 
+def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, `ids` (array<int>) of each whole text and the digest of the bytes decoded from them, in rows as they came."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        made = codec(path, pattern)
+        for batch in batches:
+            for part in range(0, batch.num_rows, 512):
+                some = batch.slice(part, 512)
+                ids = [made.encode(x or "") for x in some.column(1).to_pylist()]
+                back = [hashlib.sha256(made.decode(x)).hexdigest() for x in ids]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], names=["doc_id", "ids", "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded_sha256 string")
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, the digest of the ids and that of the bytes decoded from them, in one pass over the texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()

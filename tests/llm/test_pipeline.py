@@ -1,3 +1,5 @@
+import hashlib
+
 import corpus_pipeline
 from papyrine.llm import bpe, quality, queries, secrets
 
@@ -33,3 +35,8 @@ def test_stages_on_odd_and_empty_tables(spark, odd, none):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, "/root/testdata/sf0.001")
             docs.collect()
+
+
+def test_last_stage_decodes_its_own_ids(spark, odd):
+    rows = corpus_pipeline.byte_level_bpe(spark, odd, "/root/testdata/sf0.001").collect()
+    assert [r.decoded_sha256 for r in rows] == [hashlib.sha256((x.text or "").encode()).hexdigest() for x in odd.collect()]
