@@ -2,20 +2,23 @@
 
 Tokens are A-Z-lower-cased words and one end for each text. The corpus's word table (every word of every training text, counted
 in Spark) gives the base model, an add-0.1 unigram with one unseen word. The neural model predicts classes from the two tokens
-before: the CORE most frequent words and the end are classes by themselves, any other word belongs to the class of its last two
-bytes (the CLASSES most frequent such endings, or a rest). Within a class words have add-0.1 unigram probabilities with
-one unseen word for each class, so probabilities add up to 1 over classes and over the words of a class.
+before: the CORE most frequent words (of at most CORE_BYTES bytes) and the end are classes by themselves, any other word belongs to
+the class of its last two bytes (the CLASSES most frequent such endings, or a rest). Within a class words have add-0.1 unigram
+probabilities with one unseen word for each class, so probabilities add up to 1 over classes and over the words of a class.
 
 Context vectors of both places are projected, added and multiplied with the class vectors; as exp(a + b) = exp(a) exp(b), the
 normaliser of all pairs of contexts is one product of two matrices, computed once in a task. Every token gets a normalised
 log-probability.
 
-The neural parameters are fitted on every position of all training texts: started on about `examples` positions drawn by hash,
-they go to all tasks, each takes NCE steps over all positions of its own texts, and the tasks' parameters are averaged by their
-positions. So do all counts and class totals cover all training texts.
+The neural parameters are fitted on every position of all training texts: started on at most `examples` positions drawn in all
+tasks, they go to all tasks, each takes NCE steps over all positions of its own texts, and the tasks' parameters are averaged by
+their positions. So do all counts and class totals cover all training texts. The model depends on the texts (and on how they are
+dealt to tasks), not on which words are looked up where the texts are read: the core is taken from the word table itself.
 
-Edge cases: null and empty texts are one end token; without training rows every base probability is 1 (one unseen word);
-rows with a null doc_id are scored, not held out and not learnt from.
+Edge cases: null and empty texts are one end token; very long texts are whole; without training rows (an empty table among others)
+every base probability is 1 (one unseen word); of equally frequent words and endings the lower bytes go first; repeated rows are
+texts of their own, in training and in the result; rows with a null doc_id are scored, not held out and not learnt from; further
+columns of docs, whatever their names, are not used.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from .common import fold_of, written
 
 #: The end token's word in the table; no word holds white space.
 END = b"\n"
-CORE, CLASSES = 1023, 160
+CORE, CORE_BYTES, CLASSES = 1023, 256, 160
 #: Positions that a task holds, shuffles and trains on at once.
 CHUNK = 1 << 18
 ADD = 0.1
@@ -52,7 +55,7 @@ class Classes(dict):
 
     def __missing__(self, word: bytes) -> int:
         k = self.model.class_of(word)
-        if len(word) <= vocab.HEAD_BYTES:
+        if len(word) <= CORE_BYTES:
             if len(self) >= vocab.FLUSH:
                 self.clear()
             self[word] = k
@@ -138,7 +141,7 @@ def train(triples: np.ndarray, totals: np.ndarray, size: int = 32, noise: int =
     return vectors, left, right, bias
 
 
-def class_totals(table: DataFrame, core: dict[bytes, int], known: DataFrame | None = None) -> dict[bytes, tuple[int, int]]:
+def class_totals(table: DataFrame, core: dict[bytes, int]) -> dict[bytes, tuple[int, int]]:
     """(tokens, words) of every two-byte ending of the words outside the core: at most 65,793 endings, whatever the corpus."""
     ending = F.substring(F.col("word").cast("binary"), -2, 2)
     words = [k.decode() for k in core]
@@ -146,14 +149,28 @@ def class_totals(table: DataFrame, core: dict[bytes, int], known: DataFrame | No
     return {bytes(r[0]): (int(r[1]), int(r[2])) for r in rest.groupBy(ending.alias("e")).agg(F.sum("n"), F.count(F.lit(1))).collect()}
 
 
-def fit(docs: DataFrame, train_rows: Column, examples: int = 1_000_000, core_size: int = CORE, classes: int = CLASSES):
-    """(model, word table, head, N, V, {class: (tokens, words)}) learnt from the rows of docs that train_rows takes."""
-    texts = docs.where(train_rows).select("text")
-    table = written(vocab.counts(texts, tokens), "words")
-    head = vocab.head_of(table, "n")
-    n_tokens, n_words = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    common = sorted((w for w in head if w != END), key=lambda w: (-head[w][0], w))[:core_size]
-    core = {w: i for i, w in enumerate([END, *common])}
+@dataclass
+class Fitted:
+    """What is learnt. counts: of the core's words and the end, and of the words that are looked up where texts are read; inside:
+    (tokens, words) of every class that isn't a word's own."""
+
+    model: Model
+    table: DataFrame
+    counts: dict[bytes, int]
+    n_tokens: int
+    n_words: int
+    inside: dict[int, tuple[int, int]]
+
+
+def counted(docs: DataFrame, train_rows: Column, core_size: int = CORE, classes: int = CLASSES, head: int | None = None) -> tuple[Fitted, np.ndarray]:
+    """The counts of the rows of docs that train_rows takes and a model without parameters; how often each class occurs. head: how
+    many words are looked up without a join at most (vocab.HEAD)."""
+    table = written(vocab.counts(docs.where(train_rows).select("text"), tokens), "words")
+    n_tokens, n_words, n_texts = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("word") == END.decode(), F.col("n"))), F.lit(0))).first()
+    short = table.where((F.col("word") != END.decode()) & (F.octet_length("word") <= CORE_BYTES))
+    common = [(bytes(w), n) for w, n in short.orderBy(F.desc("n"), F.col("word").cast("binary")).limit(core_size).select(F.col("word").cast("binary"), "n").collect()]
+    own = {END: int(n_texts), **dict(common)}
+    core = {w: i for i, w in enumerate(own)}
     by_ending = class_totals(table, core)
     frequent = sorted(by_ending, key=lambda e: (-by_ending[e][0], e))[:classes]
     endings = {e: len(core) + i for i, e in enumerate(frequent)}
@@ -163,13 +180,20 @@ def fit(docs: DataFrame, train_rows: Column, examples: int = 1_000_000, core_siz
         k = endings.get(e, size - 1)
         inside[k][0] += t
         inside[k][1] += w
-    totals = np.array([head.get(w, (0,))[0] for w in core] + [inside[k][0] for k in range(len(core), size)], np.float64)
+    totals = np.array([*own.values(), *(inside[k][0] for k in range(len(core), size))], np.float64)
     model = Model(core, endings, *(np.zeros(0, np.float32),) * 3, np.zeros(size, np.float32))
-    triples = sampled(docs.where(train_rows), model, n_tokens, examples)
+    looked_up = {w: x[0] for w, x in vocab.head_of(table, "n", size=head).items()} | own
+    return Fitted(model, table, looked_up, int(n_tokens), int(n_words), {k: tuple(x) for k, x in inside.items()}), totals
+
+
+def fit(docs: DataFrame, train_rows: Column, examples: int = 1_000_000, head: int | None = None) -> Fitted:
+    """Counts and neural parameters from the rows of docs that train_rows takes."""
+    fitted, totals = counted(docs, train_rows, head=head)
+    model, texts = fitted.model, docs.where(train_rows)
     state = untrained(totals)
-    train(triples, totals, state=state)
-    (model.vectors, model.left, model.right, model.bias), _ = trained(docs.where(train_rows), model, totals, state)
-    return model, table, head, int(n_tokens), int(n_words), {k: tuple(x) for k, x in inside.items()}
+    train(sampled(texts, model, fitted.n_tokens, examples), totals, state=state)
+    (model.vectors, model.left, model.right, model.bias), _ = trained(texts, model, totals, state)
+    return fitted
 
 
 def contexts(classes: Classes, words: list[bytes]) -> np.ndarray:
@@ -221,33 +245,60 @@ def trained(docs: DataFrame, model: Model, totals: np.ndarray, state: list[np.nd
 
 
 def sampled(docs: DataFrame, model: Model, n_tokens: int, examples: int) -> np.ndarray:
-    """About `examples` context rows to start from: of a hashed share of the texts, a share of the positions spread over the whole text."""
-    share = min(1.0, examples / max(1, n_tokens))
+    """At most `examples` context rows to start from: of a share of the texts drawn in every task, positions spread over the
+    whole text; a task hands on no more than its part of them, drawn evenly from what it has."""
+    share = min(1.0, examples / max(1, 2 * n_tokens))
     of_texts = min(1.0, share * 8)
     step = max(1, round(of_texts / share))
-    picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < int(of_texts * (1 << 20)) + (of_texts == 1.0)).select("text")
+    tasks = max(1, docs.rdd.getNumPartitions())
+    each = -(-examples // tasks)
 
     def run(batches):
-        classes = model.classes()
+        from pyspark import TaskContext
+
+        rng, classes = np.random.default_rng([11, TaskContext.get().partitionId()]), model.classes()
+        held, key, new = np.zeros((0, 3), np.int32), np.zeros(0), []
+
+        def drawn(held, key):
+            rows = np.concatenate([held, *new])
+            key = np.r_[key, rng.random(len(rows) - len(key))]
+            new.clear()
+            if len(rows) <= each:
+                return rows, key
+            least = np.argpartition(key, each)[:each]
+            return rows[least], key[least]
+
         for batch in batches:
-            rows = [contexts(classes, tokens(x or b""))[i % step :: step] for i, x in enumerate(batch.column(0).cast(pa.binary()).to_pylist())]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(rows).tobytes()], pa.binary())], names=["rows"])
+            for text in batch.column(0).cast(pa.binary()):
+                if rng.random() < of_texts:
+                    new.append(contexts(classes, tokens(text.as_py() or b""))[rng.integers(step) :: step])
+                    if sum(map(len, new[-64:])) > CHUNK or len(new) >= 4096:
+                        held, key = drawn(held, key)
+        held, key = drawn(held, key)
+        if len(held):
+            yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], names=["rows"])
 
-    got = picked.mapInArrow(run, "rows binary").collect()
-    return np.concatenate([np.zeros((0, 3), np.int32), *(np.frombuffer(r[0], np.int32).reshape(-1, 3) for r in got)])
+    got = docs.select("text").mapInArrow(run, "rows binary").collect()
+    return np.concatenate([np.zeros((0, 3), np.int32), *(np.frombuffer(r[0], np.int32).reshape(-1, 3) for r in got)])[:examples]
 
 
 def score(docs: DataFrame, modulus: int = 10, examples: int = 1_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10) of every row of docs; rows whose
     crc32(doc_id) is 0 modulo `modulus` are held out of all learning."""
+    docs = docs.select("doc_id", "text")
+    made = scored(docs, fit(docs, fold_of("doc_id", modulus) != 0, examples))
+    return made.select("doc_id", F.coalesce(fold_of("doc_id", modulus) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def scored(docs: DataFrame, fitted: Fitted) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
-    model, table, head, n_all, v_all, inside = fit(docs, fold_of("doc_id", modulus) != 0, examples)
-    shared = spark.sparkContext.broadcast((model, {w: math.log10(n + ADD) for w, (n,) in head.items()}))
+    n_all = fitted.n_tokens
+    shared = spark.sparkContext.broadcast((fitted.model, {w: (math.log10(n + ADD), n > 0) for w, n in fitted.counts.items()}))
     id_schema = docs.select("doc_id").schema
-    bottom = math.log10(n_all + ADD * (v_all + 1))
-    within = {k: math.log10(t + ADD * (w + 1)) for k, (t, w) in inside.items()}
+    bottom = math.log10(n_all + ADD * (fitted.n_words + 1))
+    within = {k: math.log10(t + ADD * (w + 1)) for k, (t, w) in fitted.inside.items()}
 
     def rows(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -257,35 +308,48 @@ def score(docs: DataFrame, modulus: int = 10, examples: int = 1_000_000) -> Data
         one, two, normaliser = model.tables()
         ids, classes = vocab.row_ids(), model.classes()
         add = np.array([within.get(k, 0.0) for k in range(len(model.bias))])
+
+        def made(batch, out):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(out["rid"], pa.int64()), pa.array(out["word"], pa.binary()).cast(pa.string()), pa.array(out["f"], pa.int64()), batch.column(0).take(pa.array(out["at"], pa.int32())).cast(arrow_id), pa.array(out["n"], pa.int64()), pa.array(out["known"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(out["score"], pa.float64())],
+                names=["rid", "word", "f", "doc_id", "n_tokens", "known", "base", "neural"],
+            )
+
         for batch in batches:
-            out = {c: [] for c in ("rid", "word", "f", "at", "n", "known", "base", "score")}
-            for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                own, words = next(ids), tokens(text or b"")
-                u, v, w = contexts(classes, words).T
-                neural = float((one[u, w] + two[v, w] - normaliser[u, v]).sum(dtype=np.float64)) / math.log(10)
-                neural -= float(add[w].sum())  # 0 for the core
+            out, held = {c: [] for c in ("rid", "word", "f", "at", "n", "known", "base", "score")}, 0
+            for i, text in enumerate(batch.column(1).cast(pa.binary())):
+                text = text.as_py() or b""
+                own, words = next(ids), tokens(text)
+                neural = 0.0
+                triples = contexts(classes, words)
+                for at in range(0, len(triples), CHUNK):
+                    u, v, w = triples[at : at + CHUNK].T
+                    neural += float((one[u, w] + two[v, w] - normaliser[u, v]).sum(dtype=np.float64)) / math.log(10) - float(add[w].sum())  # 0 for the core
                 base, known, inner = -len(words) * bottom, 0, 0.0
                 for word, n in Counter(words).items():
                     x = logs.get(word)
-                    if x is None:
+                    if x is None:  # never one of the core, nor the end
                         out["rid"].append(own), out["word"].append(word), out["f"].append(n)
                         for c in ("at", "n", "known", "base", "score"):
                             out[c].append(None)
                     else:
-                        base += n * x
-                        known += n
+                        base += n * x[0]
+                        known += n * x[1]
                         if word not in model.core:
-                            inner += n * x
+                            inner += n * x[0]
                 for c, x in zip(out, (own, vocab.no_word(own), None, i, len(words), known, base, neural + inner), strict=True):
                     out[c].append(x)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["rid"], pa.int64()), pa.array(out["word"], pa.binary()).cast(pa.string()), pa.array(out["f"], pa.int64()), batch.column(0).take(pa.array(out["at"], pa.int32())).cast(arrow_id), pa.array(out["n"], pa.int64()), pa.array(out["known"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(out["score"], pa.float64())],
-                names=["rid", "word", "f", "doc_id", "n_tokens", "known", "base", "neural"],
-            )
+                held += len(text)
+                if len(out["rid"]) >= vocab.BATCH_ROWS or held >= vocab.BATCH_BYTES:
+                    yield made(batch, out)
+                    held = 0
+                    for x in out.values():
+                        x.clear()
+            yield made(batch, out)
 
     more = {"rare_known": F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("f"))), F.lit(0)), "rare": F.coalesce(F.sum(F.col("f") * F.log10(F.coalesce("c", F.lit(0)) + ADD)), F.lit(0.0))}
-    made = vocab.document_sums(docs, f"doc_id {kind}, n_tokens long, known long, base double, neural double", rows, table.select("word", F.col("n").alias("c")), more, ["doc_id", "n_tokens", "known", "base", "neural"])
+    made = vocab.document_sums(docs, f"doc_id {kind}, n_tokens long, known long, base double, neural double", rows, fitted.table.select("word", F.col("n").alias("c")), more, ["doc_id", "n_tokens", "known", "base", "neural"])
     return made.select(
-        "doc_id", F.coalesce(fold_of("doc_id", modulus) == 0, F.lit(False)).alias("held_out"), "n_tokens", (F.col("known") + F.col("rare_known")).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
+        "doc_id", "n_tokens", (F.col("known") + F.col("rare_known")).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("base") + F.col("rare")).alias("base_score"), (F.col("neural") + F.col("rare")).alias("score"),
     )

@@ -5,7 +5,9 @@ text are those of its words (special strings hold no white space and are found i
 count the corpus's pre-tokens; let the tokeniser count the pieces of each distinct one, once; join these to each document's
 pre-token frequencies and add up. No ids are kept for any document.
 
-Edge cases: null and empty texts have 0 tokens; rows with null or repeated ids are counted one by one.
+Edge cases: null and empty texts have 0 tokens; very long texts are whole, words of any length too; rows with null or repeated ids
+and repeated rows are counted one by one; there are no ties to break; an empty table gives no rows; further columns of docs, whatever
+their names, are not used.
 """
 
 from __future__ import annotations
@@ -13,14 +15,17 @@ from __future__ import annotations
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
 from .common import written
 
-BATCH = 2048
+#: Words that the tokeniser takes at once, and their bytes.
+BATCH, BATCH_BYTES = 2048, 1 << 22
 
 
 @lru_cache(maxsize=2)
@@ -42,10 +47,14 @@ def piece_counts(words: DataFrame, path: str) -> DataFrame:
     def run(batches):
         made = tokenizer(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
+            at = 0
+            while at < batch.num_rows:
+                few = batch.column(0).slice(at, BATCH)
+                fit = int(np.searchsorted(np.cumsum(pc.binary_length(few).to_numpy(zero_copy_only=False)), BATCH_BYTES, side="right"))
+                part = batch.slice(at, max(1, fit))
                 encoded = made.encode_batch_fast(part.column(0).to_pylist(), add_special_tokens=False)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in encoded], pa.int64())], names=["word", "n", "pieces"])
+                at += part.num_rows
 
     return words.select("word", "n").mapInArrow(run, "word string, n long, pieces long")
 
@@ -62,10 +71,18 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow_id = to_arrow_schema(id_type).field(0).type
+        def made(batch, out):
+            rid, word, f, at, n_bytes, base = out
+            return pa.RecordBatch.from_arrays(
+                [pa.array(rid, pa.int64()), pa.array(word, pa.binary()).cast(pa.string()), pa.array(f, pa.int64()), batch.column(0).take(pa.array(at, pa.int32())).cast(arrow_id), pa.array(n_bytes, pa.int64()), pa.array(base, pa.int64())],
+                names=["rid", "word", "f", "doc_id", "n_bytes", "base"],
+            )
+
         for batch in batches:
-            rid, word, f, at, n_bytes, base = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                text, own, total = text or b"", next(ids), 0
+            out, held = tuple([] for _ in range(6)), 0
+            rid, word, f, at, n_bytes, base = out
+            for i, text in enumerate(batch.column(1).cast(pa.binary())):
+                text, own, total = text.as_py() or b"", next(ids), 0
                 for w, n in Counter(text.split()).items():
                     k = known(w)
                     if k is None:
@@ -73,10 +90,13 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
                     else:
                         total += k * n
                 rid.append(own), word.append(vocab.no_word(own)), f.append(None), at.append(i), n_bytes.append(len(text)), base.append(total)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rid, pa.int64()), pa.array(word, pa.binary()).cast(pa.string()), pa.array(f, pa.int64()), batch.column(0).take(pa.array(at, pa.int32())).cast(arrow_id), pa.array(n_bytes, pa.int64()), pa.array(base, pa.int64())],
-                names=["rid", "word", "f", "doc_id", "n_bytes", "base"],
-            )
+                held += len(text)
+                if len(rid) >= vocab.BATCH_ROWS or held >= vocab.BATCH_BYTES:
+                    yield made(batch, out)
+                    held = 0
+                    for x in out:
+                        x.clear()
+            yield made(batch, out)
 
     rare = F.coalesce(F.sum(F.col("f") * F.col("pieces")), F.lit(0))
     made = vocab.document_sums(docs.select("doc_id", "text"), f"doc_id {kind}, n_bytes long, base long", rows, pieces.select("word", "pieces"), {"rare": rare}, ["doc_id", "n_bytes", "base"])

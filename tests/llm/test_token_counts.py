@@ -38,8 +38,26 @@ def test_operator(odd, none):
 
 def test_rare_words_go_through_the_join(odd, monkeypatch):
     monkeypatch.setattr(vocab, "FLUSH", 3)
-    monkeypatch.setattr(vocab.head_of, "__kwdefaults__", {"size": 2})
+    monkeypatch.setattr(vocab, "HEAD", 2)
+    monkeypatch.setattr(vocab, "BATCH_ROWS", 5)
+    monkeypatch.setattr(token_counts, "BATCH_BYTES", 16)
     source = [(r.doc_id, r.text) for r in odd.collect()]
     rows = [tuple(r) for r in token_counts.count_tokens(odd, PATH).collect()]
     assert len(rows) == len(source)
     check(rows, source)
+
+
+def test_a_long_word_of_every_document_is_looked_up(spark):
+    long = "=" * 3000
+    docs = spark.createDataFrame([(i, f"{long} w{i}") for i in range(100)], "doc_id long, text string")
+    table = vocab.counts(docs.select("text"), bytes.split)
+    assert list(vocab.head_of(table, "n", size=50)) == [long.encode()]
+    head = vocab.head_of(table, "n", in_all=2000)
+    assert long.encode() not in head and len(head) == 100
+    assert vocab.head_of(table, "n", size=0) == {}
+
+
+def test_tasks_flush_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(vocab, "FLUSH_BYTES", 10)
+    docs = spark.createDataFrame([(f"a b c{i}",) for i in range(40)] + [(None,), ("",)], "text string")
+    assert {r.word: r.n for r in vocab.counts(docs, bytes.split).collect()} == {"a": 40, "b": 40} | {f"c{i}": 1 for i in range(40)}
