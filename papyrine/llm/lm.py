@@ -295,7 +295,8 @@ def scored(docs: DataFrame, fitted: Fitted) -> DataFrame:
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
     n_all = fitted.n_tokens
-    shared = spark.sparkContext.broadcast((fitted.model, {w: (math.log10(n + ADD), n > 0) for w, n in fitted.counts.items()}))
+    shared = spark.sparkContext.broadcast((fitted.model, {w: math.log10(n + ADD) for w, n in fitted.counts.items()}))
+    end_known = int(fitted.counts[END] > 0)
     id_schema = docs.select("doc_id").schema
     bottom = math.log10(n_all + ADD * (fitted.n_words + 1))
     within = {k: math.log10(t + ADD * (w + 1)) for k, (t, w) in fitted.inside.items()}
@@ -307,7 +308,8 @@ def scored(docs: DataFrame, fitted: Fitted) -> DataFrame:
         model, logs = shared.value
         one, two, normaliser = model.tables()
         ids, classes = vocab.row_ids(), model.classes()
-        add = np.array([within.get(k, 0.0) for k in range(len(model.bias))])
+        # of a word's class, what its log10(count + ADD) is divided by; the core's own logs, which are not part of the neural score
+        add = np.array([*map(logs.__getitem__, model.core), *(within[k] for k in range(len(model.core), len(model.bias)))])
 
         def made(batch, out):
             return pa.RecordBatch.from_arrays(
@@ -324,8 +326,8 @@ def scored(docs: DataFrame, fitted: Fitted) -> DataFrame:
                 triples = contexts(classes, words)
                 for at in range(0, len(triples), CHUNK):
                     u, v, w = triples[at : at + CHUNK].T
-                    neural += float((one[u, w] + two[v, w] - normaliser[u, v]).sum(dtype=np.float64)) / math.log(10) - float(add[w].sum())  # 0 for the core
-                base, known, inner = -len(words) * bottom, 0, 0.0
+                    neural += float((one[u, w] + two[v, w] - normaliser[u, v]).sum(dtype=np.float64)) / math.log(10) - float(add[w].sum())
+                found, known = 0.0, end_known - 1
                 for word, n in Counter(words).items():
                     x = logs.get(word)
                     if x is None:  # never one of the core, nor the end
@@ -333,11 +335,9 @@ def scored(docs: DataFrame, fitted: Fitted) -> DataFrame:
                         for c in ("at", "n", "known", "base", "score"):
                             out[c].append(None)
                     else:
-                        base += n * x[0]
-                        known += n * x[1]
-                        if word not in model.core:
-                            inner += n * x[0]
-                for c, x in zip(out, (own, vocab.no_word(own), None, i, len(words), known, base, neural + inner), strict=True):
+                        found += n * x
+                        known += n
+                for c, x in zip(out, (own, vocab.no_word(own), None, i, len(words), known, found - len(words) * bottom, neural + found), strict=True):
                     out[c].append(x)
                 held += len(text)
                 if len(out["rid"]) >= vocab.BATCH_ROWS or held >= vocab.BATCH_BYTES:
