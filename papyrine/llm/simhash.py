@@ -12,15 +12,26 @@ share and their values, and its parent's bits are factored out of it. A search g
 the query differs from each node's own pattern and drops a whole group once the sum exceeds `bits`. Only the links that join
 two groups of a cell not joined before are given out, at most one less than the cell's fingerprints.
 
+A bucket whose fingerprints are joined already is not searched pair by pair: neighbours in Gray order are joined first, and a search
+passes over nodes whose fingerprints all belong to the query's group.
+
+A check can be asked for, `check` = (words, similarity): each text then also has a code of 256 bits over shingles of so many words,
+and fingerprints are linked only if these codes differ in no more bits than texts of that similarity (shared over all shingles) do,
+give or take one standard error. The fingerprint then only has to find candidates, so it can have shorter shingles and more bits.
+
 Components: alternating star contraction over the links, each round cut from its lineage by a checkpoint in the shared folder.
 Nothing about single documents is collected; the driver sees one count for each round.
 
-Edge cases: null and empty texts have fingerprint zero and are linked like any other; rows with a null doc_id have a fingerprint
-and the component of their fingerprint, but don't name it (the component is null if no member has an id); repeated rows stay.
+Edge cases: null and empty texts have fingerprint zero and are linked like any other; very long texts are whole, a block of hashes
+at a time; a bit that exactly half the hashes have is 0; rows with a null doc_id have a fingerprint and the component of their
+fingerprint, but don't name it (the component is null if no member has an id); repeated rows stay, and representatives() keeps one of
+them; of equal ids in a group it keeps the row with the least hash of its text; an empty table gives no rows; further columns of docs,
+whatever their names, are not used, and representatives() hands them on.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -32,6 +43,8 @@ from pyspark.sql import Window as W
 from .common import shared_dir
 
 FANOUT = 8
+#: Bits of the code of a check.
+WIDE = 256
 #: Pairs of a query and a node that a search holds at once.
 FRONTIER = 1 << 20
 #: Fingerprints in buckets that a task works on at once.
@@ -57,16 +70,42 @@ def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, `text_hash` (of the text as it is) and `fp`, the fingerprint's bits as a (signed) long."""
+def wide_code(text: bytes | None, shingle: int) -> bytes:
+    """256 bits: which are set in over half of the shingles' hashes; each hash of 64 bits is mixed to four."""
+    import xxhash
+
+    words = (text or b"").lower().split()
+    some = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
+    hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in some], np.uint64)
+    ones = np.zeros(WIDE, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        lanes = hashes[at : at + (1 << 14), None] + np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            lanes = (lanes ^ (lanes >> np.uint64(shift))) * np.uint64(factor)
+        ones += np.unpackbits((lanes ^ (lanes >> np.uint64(31))).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+
+
+def differing(similarity: float) -> int:
+    """Bits of WIDE in which codes of texts with that share of common shingles differ: their cosine is 2s / (1 + s); one standard
+    error more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(WIDE * p + math.sqrt(WIDE * p * (1 - p)))
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, check: int | None = None) -> DataFrame:
+    """doc_id, `text_hash` (of the text as it is) and `fp`, the fingerprint's bits as a (signed) long; with `check`, also `wide`, the
+    code over shingles of so many words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(x, shingle) for x in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64), pa.int64())], names=["doc_id", "text_hash", "fp"])
+            texts = batch.column(1).cast(pa.binary())
+            fps = np.array([fingerprint(x.as_py(), shingle) for x in texts], np.uint64)
+            wide = [] if check is None else [pa.array([wide_code(x.as_py(), check) for x in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64), pa.int64()), *wide], names=["doc_id", "text_hash", "fp", "wide"][: 3 + len(wide)])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, fp long" + (", wide binary" if check else ""))
 
 
 # --- the index of a task ---------------------------------------------------------------------------------------------
@@ -111,20 +150,33 @@ class GrayIndex:
             low["own"] = low["shared"] & ~np.repeat(high["shared"], high["last"] - high["first"])
         self.levels[-1]["own"] = self.levels[-1]["shared"]
 
-    def within(self, queries: np.ndarray, root: np.ndarray, bits: int, beyond: np.ndarray | None = None):
+    def settle(self, label: np.ndarray) -> None:
+        """Notes the codes' labels: `one` of a node is the label that all codes under it have, or -1."""
+        self.levels[0]["one"] = label
+        for low, high in zip(self.levels, self.levels[1:], strict=False):
+            least, most = np.minimum.reduceat(low["one"], high["first"]), np.maximum.reduceat(low["one"], high["first"])
+            high["one"] = np.where(least == most, least, -1)
+
+    def within(self, queries: np.ndarray, root: np.ndarray, bits: int, beyond: np.ndarray | None = None, label: np.ndarray | None = None, own: np.ndarray | None = None):
         """Blocks (query's number, code's place) of all codes under the query's root at most `bits` bits away; with `beyond`,
-        only codes placed after it. root is a place in the last level."""
-        step = max(1, FRONTIER // 4096)
+        only codes placed after it; with `label` (which the caller may change in between) and the queries' `own` places, only nodes
+        of other labels. root is a place in the last level."""
+        step, seen = max(1, FRONTIER // 4096), None
         for at in range(0, len(queries), step):
-            yield from self._search(queries, np.arange(at, min(at + step, len(queries))), root, bits, beyond)
+            if label is not None and (seen is None or not np.array_equal(seen, label)):
+                seen = label.copy()
+                self.settle(seen)
+            yield from self._search(queries, np.arange(at, min(at + step, len(queries))), root, bits, beyond, own)
 
-    def _search(self, queries, number, root, bits, beyond):
+    def _search(self, queries, number, root, bits, beyond, own=None):
         node, top = root[number], self.levels[-1]
         far = np.bitwise_count((queries[number] ^ top["value"][node]) & top["own"][node]).astype(np.int16)
         stack = [(len(self.levels) - 1, number, node, far)]
         while stack:
             level, number, node, far = stack.pop()
             near = far <= bits
+            if own is not None:
+                near &= self.levels[level]["one"][node] != self.levels[0]["one"][own[number]]
             number, node, far = number[near], node[near], far[near]
             if not level:
                 if beyond is not None:
@@ -164,14 +216,20 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label[:] = to[label]
 
 
-def links_of_cells(cell: np.ndarray, side: np.ndarray, codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of every cell. side: 0 a cell whose pairs all count; 1 and 2 the two slices of a cell of which only pairs
-    across count. The same code isn't in a cell twice."""
+def links_of_cells(cell: np.ndarray, side: np.ndarray, codes: np.ndarray, bits: int, wide: np.ndarray | None = None, far: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of every cell, as places of the rows given. side: 0 a cell whose pairs all count; 1 and 2 the two slices of a
+    cell of which only pairs across count. wide (rows x 4): codes that may differ in `far` bits at most. The same row isn't in a cell
+    twice."""
     order = np.lexsort((gray_rank(codes), side, cell))
-    cell, side, codes = cell[order], side[order], codes[order]
-    group = np.cumsum(np.r_[True, (cell[1:] != cell[:-1]) | (side[1:] != side[:-1])]) - 1 if len(cell) else np.zeros(0, np.int64)
     if not len(cell):
-        return codes, codes
+        return order, order
+    cell, side, codes = cell[order], side[order], codes[order]
+    wide = None if wide is None else wide[order]
+    group = np.cumsum(np.r_[True, (cell[1:] != cell[:-1]) | (side[1:] != side[:-1])]) - 1
+
+    def similar(a, b):
+        return np.ones(len(a), bool) if wide is None else np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int64) <= far
+
     index = GrayIndex(codes, group)
     start = np.searchsorted(group, np.arange(group[-1] + 1))
     partner = np.where(side[start] == 0, np.arange(len(start)), -1)
@@ -181,12 +239,21 @@ def links_of_cells(cell: np.ndarray, side: np.ndarray, codes: np.ndarray, bits:
     asks = np.flatnonzero(target >= 0)
     label = np.arange(len(codes))
     out_a, out_b = [], []
-    for number, place in index.within(codes[asks], target[asks], bits, beyond[asks]):
-        a = asks[number]
-        needed = _joined(label, a, place)
-        out_a.append(codes[a[needed]])
-        out_b.append(codes[place[needed]])
-    none = np.zeros(0, np.uint64)
+
+    def join(a, b):
+        like = similar(a, b)
+        a, b = a[like], b[like]
+        needed = _joined(label, a, b)
+        out_a.append(order[a[needed]])
+        out_b.append(order[b[needed]])
+
+    for shift in (1, 2):  # neighbours in Gray order first
+        a = np.flatnonzero((group[shift:] == group[:-shift]) & (side[shift:] == 0))
+        a = a[np.bitwise_count(codes[a] ^ codes[a + shift]) <= bits]
+        join(a, a + shift)
+    for number, place in index.within(codes[asks], target[asks], bits, beyond[asks], label, asks):
+        join(asks[number], place)
+    none = np.zeros(0, order.dtype)
     return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
 
 
@@ -205,27 +272,40 @@ def _long(x: int) -> Column:
     return F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
 
 
-def similar_links(codes: DataFrame, bits: int = 4, share: int = 2, cell: int = 4096) -> DataFrame:
+def _node() -> Column:
+    """A fingerprint and its wide code as one binary value."""
+    return F.concat(F.unhex(F.lpad(F.hex("fp"), 16, "0")), F.col("wide"))
+
+
+def similar_links(codes: DataFrame, bits: int = 4, share: int = 2, cell: int = 4096, far: int | None = None) -> DataFrame:
     """Links (a, b), a > b, between distinct fingerprints (`fp`), that connect what is within `bits` bits; each is itself
-    within `bits` bits. codes: one row for each fingerprint."""
+    within `bits` bits. codes: one row for each fingerprint. With `far`, codes has a column `wide` too, whose codes must be within
+    `far` bits; one row for each pair of both, and the links are between values of _node()."""
+    wide = [] if far is None else ["wide"]
     masks = part_masks(bits, share)
     keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(_long(m)).alias("pattern")) for i, m in enumerate(masks)])
-    dealt = codes.select("fp", F.explode(keys).alias("k")).select("fp", "k.part", "k.pattern")
+    dealt = codes.select("fp", *wide, F.explode(keys).alias("k")).select("fp", *wide, "k.part", "k.pattern")
     crowded = dealt.groupBy("part", "pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     slices = F.ceil(F.col("n") / cell).cast("int")
     met = dealt.join(crowded, ["part", "pattern"])  # a fingerprint alone in its bucket has no partner there
-    met = met.withColumn("slices", slices).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int"))
+    met = met.withColumn("slices", slices).withColumn("own", F.pmod(F.xxhash64("fp", *wide), F.col("slices")).cast("int"))
     other = F.sequence(F.lit(0), F.col("slices") - 1)
-    met = met.select("fp", "part", "pattern", "own", F.explode(other).alias("other"))
+    met = met.select("fp", *wide, "part", "pattern", "own", F.explode(other).alias("other"))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(low == high, 0).when(F.col("own") == low, 1).otherwise(2)
-    cells = met.select("fp", "part", "pattern", low.alias("low"), high.alias("high"), side.cast("byte").alias("side"))
+    cells = met.select("fp", *wide, "part", "pattern", low.alias("low"), high.alias("high"), side.cast("byte").alias("side"))
     key = ("part", "pattern", "low", "high")
-    cells = cells.select("fp", *key, "side").repartition(*key).sortWithinPartitions(*key)
+    cells = cells.select("fp", *wide, *key, "side").repartition(*key).sortWithinPartitions(*key)
 
     def linked(rows: pa.Table, new: np.ndarray) -> pa.RecordBatch:
-        a, b = links_of_cells(np.cumsum(new), rows.column("side").to_numpy(), rows.column("fp").to_numpy().view(np.uint64), bits)
-        a, b = a.view(np.int64), b.view(np.int64)
+        fps = rows.column("fp").to_numpy().view(np.uint64)
+        codes = np.frombuffer(b"".join(rows.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE // 64) if wide else None
+        a, b = links_of_cells(np.cumsum(new), rows.column("side").to_numpy(), fps, bits, codes, far or 0)
+        if wide:
+            nodes = lambda at: [x.tobytes() + y.tobytes() for x, y in zip(fps[at].byteswap(), codes[at], strict=True)]
+            ends = [sorted(x) for x in zip(nodes(a), nodes(b), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in ends], pa.binary()) for i in (1, 0)], names=["a", "b"])
+        a, b = fps[a].view(np.int64), fps[b].view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
     def run(batches):
@@ -242,7 +322,7 @@ def similar_links(codes: DataFrame, bits: int = 4, share: int = 2, cell: int = 4
         if held is not None and held.num_rows:
             yield linked(held, _starts(held, key))
 
-    return cells.mapInArrow(run, "a long, b long")
+    return cells.mapInArrow(run, "a binary, b binary" if wide else "a long, b long")
 
 
 def _starts(rows: pa.Table, key: tuple[str, ...]) -> np.ndarray:
@@ -282,18 +362,19 @@ def components(links: DataFrame) -> DataFrame:
         state = tuple(seen)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, share: int = 2, cell: int = 4096) -> DataFrame:
-    """doc_id, text_hash, fp, root (a fingerprint that stands for the component) and component_id (the least doc_id that links
-    reach) of every row of docs."""
+def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, share: int = 2, cell: int = 4096, check: tuple[int, float] | None = None) -> DataFrame:
+    """doc_id, text_hash, fp, root (a fingerprint, with its wide code if there is a check, that stands for the component) and
+    component_id (the least doc_id that links reach) of every row of docs."""
     shared_dir(docs.sparkSession)
-    prints = fingerprints(docs, shingle).checkpoint()
-    codes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(similar_links(codes.select("fp"), bits, share, cell))
-    rooted = codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    prints = fingerprints(docs, shingle, check and check[0]).checkpoint()
+    key = ["fp", "wide"] if check else ["fp"]
+    codes = prints.groupBy(*key).agg(F.min("doc_id").alias("least")).withColumn("node", _node() if check else F.col("fp"))
+    roots = components(similar_links(codes.select(*key), bits, share, cell, check and differing(check[1])))
+    rooted = codes.join(roots, "node", "left").select(*key, "least", F.coalesce("root", "node").alias("root"))
     # cut here, so that the join below has an exchange on both sides, whose large partitions Spark can split
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id")).checkpoint()
-    members = rooted.join(named, "root").select("fp", "root", "component_id")
-    return prints.join(members, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    members = rooted.join(named, "root").select(*key, "root", "component_id")
+    return prints.join(members, key).select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def representatives(docs: DataFrame, **how) -> DataFrame:

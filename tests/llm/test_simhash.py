@@ -114,3 +114,73 @@ def test_representatives(odd, none):
     assert len(got) == len(set(labels.tolist()))
     assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(min(r.doc_id for r, v in zip(rows, labels, strict=True) if v == k and r.doc_id is not None) for k in set(labels.tolist()) if any(r.doc_id is not None for r, v in zip(rows, labels, strict=True) if v == k))
     assert simhash.representatives(none).count() == 0
+
+
+def test_wide_codes():
+    r = random.Random(3)
+    for text in [None, "", "one", "a b c d e f", " ".join(r.choice("abcdefgh") for _ in range(90))]:
+        words = (text or "").encode().split()
+        ones = [0] * 256
+        some = [b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
+        for x in some:
+            for lane in range(1, 5):
+                z = (xxhash.xxh3_64_intdigest(x) + lane * 0x9E3779B97F4A7C15) % 2**64
+                z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+                z ^= z >> 31
+                for b in range(64):
+                    ones[64 * (lane - 1) + b] += z >> b & 1
+        want = sum(1 << b for b in range(256) if 2 * ones[b] > len(some))
+        assert int.from_bytes(simhash.wide_code(text and text.encode(), 5), "little") == want
+
+
+def test_checked_components(spark):
+    """Links need both codes; brute force over all pairs, in one cell and in slices."""
+    rng = np.random.default_rng(12)
+    codes = balls(rng, 70)
+    wide = rng.integers(0, 2**63, (6, 4), dtype=np.int64).astype(np.uint64)[rng.integers(0, 6, len(codes))]
+    wide ^= np.uint64(1) << rng.integers(0, 20, wide.shape).astype(np.uint64)
+    far = 6
+    near = (np.bitwise_count(codes[:, None] ^ codes[None]) <= 7) & (np.bitwise_count(wide[:, None] ^ wide[None]).sum(2) <= far)
+    label = np.arange(len(codes))
+    while not (label == (new := np.where(near, label[None], len(codes)).min(1))).all():
+        label = new
+    assert 6 < len(set(label.tolist())) < len(codes)
+    df = spark.createDataFrame([(int(x), bytearray(y.tobytes())) for x, y in zip(codes.view(np.int64), wide, strict=True)], "fp long, wide binary").withColumn("node", simhash._node())
+    node = {(r.fp, bytes(r.wide)): bytes(r.node) for r in df.collect()}
+    for share, cell in ((2, 4096), (1, 16)):
+        roots = {bytes(r.node): bytes(r.root) for r in simhash.components(simhash.similar_links(df.select("fp", "wide"), 7, share, cell, far)).collect()}
+        got = [roots.get(n, n) for x, y in zip(codes.view(np.int64), wide, strict=True) for n in [node[int(x), y.tobytes()]]]
+        groups = lambda labels: sorted(map(sorted, {k: [i for i, v in enumerate(labels) if v == k] for k in set(labels)}.values()))
+        assert groups(got) == groups(label.tolist())
+
+
+def test_settled_nodes_are_passed_over():
+    rng = np.random.default_rng(7)
+    codes = balls(rng, 90)
+    codes = codes[np.argsort(simhash.gray_rank(codes))]
+    root, place = np.zeros(len(codes), np.int64), np.arange(len(codes))
+    index = simhash.GrayIndex(codes, root)
+    label = np.array(brute_components(codes))
+    assert not any(len(q) for q, _ in index.within(codes, root, 4, place, label, place))
+    a, b = simhash.links_of_cells(np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int8), codes, 4)
+    assert len(a) == len(codes) - len(set(label.tolist()))
+
+
+def test_recall_of_checked_near_copies(spark):
+    """Five-word similarity of 0.8 and more, against brute force over all pairs; what is below 0.6 stays apart."""
+    r = random.Random(21)
+    words = [f"w{k}" for k in range(5000)]
+    texts = []
+    for _ in range(40):
+        base = [r.choice(words) for _ in range(r.randint(120, 400))]
+        texts += [base] + [[w if r.random() > p else r.choice(words) for w in base] for p in (0.005, 0.01, 0.018, 0.15)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    some = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    like = lambda a, b: len(some[a] & some[b]) / len(some[a] | some[b])
+    group = {x.doc_id: x.component_id for x in simhash.near_duplicates(docs, shingle=2, bits=7, check=(5, 0.8)).collect()}
+    near = [(a, b) for g in range(0, 200, 5) for a in range(g, g + 5) for b in range(a) if b >= g and like(a, b) >= 0.8]
+    found = sum(group[a] == group[b] for a, b in near)
+    assert len(near) > 80 and found >= 0.9 * len(near), (found, len(near))
+    apart = [g + 4 for g in range(0, 200, 5)]
+    assert all(group[a] == a for a in apart if all(like(a, b) < 0.6 for b in range(a - 4, a)))
