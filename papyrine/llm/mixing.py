@@ -6,12 +6,17 @@ size: the expected copies of each of its documents. The prefix sum of these with
 offset of the source, crosses an integer once for each copy to emit; as documents are taken in the order of their size, the
 words taken follow the target closely.
 
-A source is never one group: its documents are ranked within buckets of equal size class (eight to an octave) and hash byte. The
-counts of at most 256 buckets in a class and at most 512 classes in a source are summed up in turn to give the rank before
-each bucket. The table of sources itself (one row for each) is ordered in one task: a mix names its sources.
+A source is never one group. Rows of one source and id with equal texts are counted together first; what is left is ordered by
+size class (eight to an octave) and a hash of id and text, and ranked within buckets of a class and as many first digits of the
+hash as make a bucket some BUCKET groups, however large the class is. The counts of a class's buckets and of a source's at most 512
+classes are summed up in turn to give the rank before each bucket. All this is done on narrow rows; texts are read once for it and
+once more for the mix, whose rows meet their copies by hash. The table of sources itself (one row for each) is ordered in one task:
+a mix names its sources.
 
 Edge cases: null texts have size 0; a null source is a source of its own, last in the order; sources of size 0 have target 0 and
-nothing is taken from them; rows with null or repeated doc_id are each a document; equal sizes are ordered by hashes of id and text.
+nothing is taken from them; an empty table gives no rows; very long texts are whole; rows with null or repeated doc_id are each a
+document; equal sizes are ordered by hashes of id and text, and rows that are the same in these take the ranks one after the other;
+the mix keeps all columns of docs, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,12 +29,13 @@ from .common import written
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
+#: Groups that a bucket holds, and equal rows that a task gives out at once.
+BUCKET, CHUNK = 4096, 1 << 16
 
 
 def size_of(text: str) -> Column:
     """Words between ASCII white space; 0 for null."""
-    blank = F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.size(F.array_remove(F.split(blank, " "), "")).cast("long")
+    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def offset_of(source: str, seed: int) -> Column:
@@ -59,53 +65,88 @@ def _key(source: str) -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """rows (key, id, size, ...) with the bucket: size class and hash byte, and the hash."""
-    digits = F.bin("size")
-    of_class = F.concat(F.lpad(F.length(digits).cast("string"), 2, "0"), F.rpad(F.substring(digits, 1, 4), 4, "0"))
-    return rows.withColumn("class", of_class).withColumn("hash", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))).withColumn("byte", F.substring("hash", 1, 2))
+def _hash(doc_id: str, text: str) -> Column:
+    named = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit("")))
+    return F.md5(named.cast("binary"))
 
 
-def ranked(rows: DataFrame, small: DataFrame) -> DataFrame:
-    """rows with `rank` (from 1) within the key. small: the same rows' key, id and size, to be counted."""
-    counts = _dealt(small).groupBy("key", "class", "byte").agg(F.count(F.lit(1)).alias("n"))
+def _class(size: str) -> Column:
+    digits = F.bin(size)
+    return F.concat(F.lpad(F.length(digits).cast("string"), 2, "0"), F.rpad(F.substring(digits, 1, 4), 4, "0"))
+
+
+def ranked(groups: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """groups (key, size, hash, n, ...) with `before`: the documents of the key in the groups before it, in the order of size class
+    and hash. Groups of one hash follow each other in any order."""
+    groups = groups.withColumn("class", _class("size"))
     preceding = lambda *by: W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)
-    classes = counts.groupBy("key", "class").agg(F.sum("n").alias("n"))
-    classes = classes.select("key", "class", F.coalesce(F.sum("n").over(preceding("key", "class")), F.lit(0)).alias("in_key"))
-    within = counts.withColumn("in_class", F.coalesce(F.sum("n").over(preceding("key", "class", "byte")), F.lit(0)))
-    starts = within.join(classes, ["key", "class"]).select("key", "class", "byte", (F.col("in_key") + F.col("in_class")).alias("start"))
-    own = F.row_number().over(W.partitionBy("key", "class", "byte").orderBy("size", "hash", "tie"))
-    return _dealt(rows).withColumn("own", own).join(starts, ["key", "class", "byte"]).withColumn("rank", F.col("start") + F.col("own"))
-
-
-def mixed(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
-    """One row for each row of docs: all its columns as struct `row`, size, source_size, target, and `copies` to emit."""
-    small = written(docs.select(_key("source").alias("key"), "source", F.col("doc_id").alias("id"), size_of("text").alias("size")), "sizes")
-    sources = small.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
+    classes = groups.groupBy("key", "class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
+    digits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("groups") / bucket) / 4)).cast("int")
+    classes = classes.select("key", "class", digits.alias("digits"), F.coalesce(F.sum("n").over(preceding("key", "class")), F.lit(0)).alias("in_key"))
+    dealt = groups.join(classes, ["key", "class"]).withColumn("prefix", F.substring(F.col("hash"), F.lit(1), F.col("digits")))
+    buckets = dealt.groupBy("key", "class", "prefix").agg(F.sum("n").alias("n"))
+    buckets = buckets.select("key", "class", "prefix", F.coalesce(F.sum("n").over(preceding("key", "class", "prefix")), F.lit(0)).alias("in_class"))
+    within = dealt.withColumn("in_bucket", F.coalesce(F.sum("n").over(preceding("key", "class", "prefix", "hash")), F.lit(0)))
+    made = within.join(buckets, ["key", "class", "prefix"]).withColumn("before", F.col("in_key") + F.col("in_class") + F.col("in_bucket"))
+    return made.drop("class", "digits", "prefix", "in_key", "in_class", "in_bucket")
+
+
+def planned(docs: DataFrame, seed: int, weights: tuple[int, ...], most: int, extra: list[Column] = ()) -> DataFrame:
+    """One row for each group of rows of docs with equal source, id and text (and `extra`): key, id, size, hash, n, before,
+    source_size, target, rate and offset."""
+    narrow = docs.select(_key("source").alias("key"), "source", F.col("doc_id").alias("id"), size_of("text").alias("size"), _hash("doc_id", "text").alias("hash"), *extra)
+    small = written(narrow.groupBy(*narrow.columns).agg(F.count(F.lit(1)).alias("n")), "sizes")
+    sources = small.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     sources = targets(sources.select("source", "source_size"), weights, most)
     sources = sources.select(_key("source").alias("key"), "source_size", "target", offset_of("source", seed).alias("offset"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
-    rows = docs.select(F.struct("*").alias("row"), _key("source").alias("key"), F.col("doc_id").alias("id"), size_of("text").alias("size"), F.xxhash64("text").alias("tie"))
-    made = ranked(rows, small.select("key", "id", "size")).join(sources, "key")
-    copies = F.floor(F.col("rank") * F.col("rate") + F.col("offset")) - F.floor((F.col("rank") - 1) * F.col("rate") + F.col("offset"))
-    return made.select("row", "size", "source_size", "target", F.least(copies, F.lit(most)).cast("int").alias("copies"))
+    return ranked(small.drop("source")).join(sources, "key")
+
+
+def _crossed(first: Column, last: Column) -> Column:
+    """Integers that the shifted prefix sum crosses from rank `first` to `last`."""
+    return F.floor(last * F.col("rate") + F.col("offset")) - F.floor(first * F.col("rate") + F.col("offset"))
+
+
+def _one_by_one(rows: DataFrame, n: str, at: str, chunk: int) -> DataFrame:
+    """Each row n times, numbered 1 to n by `at`; a row of many is dealt out to tasks in chunks."""
+    few, many = rows.where(F.col(n) <= chunk), rows.where(F.col(n) > chunk)
+    starts = F.sequence(F.lit(0), F.floor((F.col(n) - 1) / chunk))
+    dealt = many.withColumn("chunk", F.explode(starts)).repartition("hash", "chunk")
+    dealt = dealt.withColumn(at, F.explode(F.sequence(F.col("chunk") * chunk + 1, F.least(F.col(n), (F.col("chunk") + 1) * chunk)))).drop("chunk")
+    return few.withColumn(at, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).unionByName(dealt)
+
+
+def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, most: int = 3, chunk: int = CHUNK) -> DataFrame:
+    """The mix itself: the rows of docs, each as often as its copies. Of rows that are wholly equal one stands for all in the
+    shuffle and is given out as often as all of them are taken."""
+    same = F.xxhash64(*docs.columns).alias("same")
+    plan = planned(docs, seed, weights, most, [same]).withColumn("copies", F.least(_crossed(F.col("before"), F.col("before") + F.col("n")), F.col("n") * most).cast("long"))
+    plan = written(plan.where("copies > 0").select("hash", "same", "copies"), "copies")
+    whole = docs.select(F.struct("*").alias("row"), _hash("doc_id", "text").alias("hash"), same)
 
+    def emitted(plan: DataFrame, by_chunk: bool) -> DataFrame:
+        rows = whole.join(plan.select("hash", "same"), ["hash", "same"], "left_semi") if by_chunk else whole
+        joined = rows.groupBy("hash", "same").agg(F.first("row").alias("row")).join(plan, ["hash", "same"])
+        if not by_chunk:
+            return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row")
+        return _one_by_one(joined, "copies", "at", chunk).select("row")
 
-def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as its copies."""
-    made = mixed(docs, seed, weights, most).where("copies > 0")
-    return made.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    made = emitted(plan.where(F.col("copies") <= chunk), False)
+    many = plan.where(F.col("copies") > chunk)
+    return (made if many.isEmpty() else made.unionAll(emitted(many, True))).select("row.*")
 
 
-def taken(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, taken of each row of docs; the text itself isn't shuffled."""
-    narrow = docs.select("doc_id", "source", "text")
-    made = mixed(narrow, seed)
-    return made.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+def taken(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, most: int = 3, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, size, source_size, target, taken of each row of docs; texts aren't shuffled."""
+    plan = written(planned(docs, seed, weights, most), "ranks")
+    rank = F.col("before") + F.col("at")
+    copies = F.least(_crossed(rank - 1, rank), F.lit(most))
+    return _one_by_one(plan, "n", "at", chunk).select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
 
 
 ORACLE = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS hash FROM documents),
 sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place FROM sized GROUP BY source),
 weighed AS (
@@ -121,8 +162,7 @@ targets AS (
   SELECT source, source_size, least(CAST(bound AS DOUBLE), coalesce(level * weight, CAST(bound AS DOUBLE))) AS target,
     CAST('0x' || substr(md5('17:' || coalesce('s' || source, 'n')), 1, 5) AS BIGINT) / 1048576.0::DOUBLE AS shift FROM levelled),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY lpad(CAST(length(bin(size)) AS VARCHAR), 2, '0') || rpad(substr(bin(size), 1, 4), 4, '0'),
-    substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 2), size, md5(coalesce(CAST(doc_id AS VARCHAR), ''))) AS rank FROM sized)
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY lpad(CAST(length(bin(size)) AS VARCHAR), 2, '0') || rpad(substr(bin(size), 1, 4), 4, '0'), hash) AS rank FROM sized)
 SELECT doc_id, size, source_size, target,
   CAST(size * least(floor(rank * rate + shift) - floor((rank - 1) * rate + shift), 3) AS BIGINT) AS taken
 FROM (SELECT r.*, t.source_size, t.target, t.shift, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate

@@ -71,3 +71,39 @@ def test_edge_cases(odd, none):
     assert len(rows) == odd.count() and all(r.taken <= 3 * r.size for r in rows)
     assert mixing.mix(odd).columns == odd.columns
     assert mixing.taken(none).count() == 0 and mixing.mix(none).count() == 0
+
+
+def test_ranks_follow_class_and_hash_in_buckets_of_any_size(spark):
+    r = random.Random(2)
+    rows = [(f"k{r.randint(0, 1)}", r.choice([0, 1, 2, 3, 17, 19, 900]), f"{r.getrandbits(128):032x}", r.choice([1, 1, 5])) for _ in range(900)]
+    table = spark.createDataFrame(rows, "key string, size long, hash string, n long")
+    place = lambda x: (x[0], len(bin(x[1])), (bin(x[1])[2:] + "000")[:4], x[2])
+    want, seen = {}, {}
+    for x in sorted(rows, key=place):
+        want[x[2]] = seen.get(x[0], 0)
+        seen[x[0]] = want[x[2]] + x[3]
+    for bucket in (3, 4096):
+        assert {x.hash: x.before for x in mixing.ranked(table, bucket).collect()} == want
+
+
+def test_equal_rows_are_dealt_out(spark):
+    """Equal ids, null ids and equal texts that are most of a source: no task has more than its share, and the mix is whole."""
+    docs = spark.range(0, 20_000, 1, 8).selectExpr("if(id % 2 = 0, null, if(id % 3 = 0, id, 7L)) AS doc_id", "if(id % 5 = 0, '', 'some words here') AS text", "'s' AS source", "1 AS n_chars")
+    few, dealt = mixing.taken(docs).collect(), mixing.taken(docs, chunk=1000)
+    assert sorted(map(str, few)) == sorted(map(str, dealt.collect())) and len(few) == 20_000
+    assert sum(r.taken for r in few) == sum(r.size for r in few)
+    groups = mixing.planned(docs, 17, mixing.WEIGHTS, 3)
+    assert groups.count() == docs.distinct().count()
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, mixing.mix(docs, chunk=1000).collect())) == sorted(map(key, mixing.mix(docs).collect())) == sorted(map(key, docs.collect()))
+
+
+def test_the_mix_takes_what_the_plan_says(spark):
+    docs = corpus(spark)
+    docs = docs.unionAll(docs.where("doc_id % 3 = 0")).withColumn("size", docs.doc_id % 7)
+    taken, got = {}, {}
+    for r in mixing.taken(docs).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    for r in mixing.mix(docs).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.split())
+    assert {k: v for k, v in taken.items() if v} == {k: v for k, v in got.items() if v}
