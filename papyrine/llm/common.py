@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..session import workers_find_engine
 
@@ -30,11 +31,14 @@ def fold_of(column: str, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. Only where it is unset (tests on one machine)
-    is a temporary folder used; the context's checkpoint folder is then set to the same place."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset and all runs on one machine (tests), a
+    temporary folder is used; on a cluster that is an error, as each executor would write to its own disk. The context's checkpoint
+    folder is then set to the same place."""
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="papyrine-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -61,16 +65,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """The `rows` rows of the smallest hash of the key, the same in every run; a training sample with a fixed bound."""
+    """The `rows` rows of the smallest hash of the key, the same in every run; for narrow rows, as one task puts them in order."""
     return df.orderBy(F.xxhash64(key), F.col(key)).limit(rows)
 
 
 def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, rows_per_class: int, train: Column | None = None) -> DataFrame:
-    """(text, label) of at most rows_per_class labelled documents of each class. Only this bounded list of ids is
-    broadcast; the texts aren't shuffled. Repeated labels of an id: the larger counts; null ids and labels: left out."""
+    """(doc_id, text, label) of at most rows_per_class rows of docs for each label. Only a bounded list of ids is
+    broadcast; the texts aren't shuffled. Repeated labels of an id: the larger counts; ids in several rows of docs come after the
+    others, and only if all their rows are within the bound; null ids and labels: left out."""
     marks = marks.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
     if train is not None:
         marks = marks.where(train)
     marks = marks.groupBy("doc_id").agg(F.max("label").alias("label"))
     ids = bounded_sample(marks.where("label = 1"), "doc_id", rows_per_class).unionByName(bounded_sample(marks.where("label = 0"), "doc_id", rows_per_class))
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    times = docs.select("doc_id").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("times"))
+    place = W.partitionBy("label").orderBy("times", F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    within = times.withColumn("rows", F.sum("times").over(place)).where(F.col("rows") <= rows_per_class).select("doc_id", "label")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(within), "doc_id")

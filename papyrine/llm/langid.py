@@ -4,10 +4,13 @@ Every text is cut into windows of `length` bytes (the last one ends with the tex
 width the network has filters over that many bytes, whose first layer is a table of the 256 bytes for each place of the filter;
 each filter's maximum over the window, through a ramp, goes to a softmax over the languages learnt. The probabilities of a text are the
 means over its windows, weighted by the bytes that a window adds. Training is Adam in numpy on windows spread evenly over
-documents of every language that labels name, about `per_language` of each.
+documents of every language that labels name: at most `per_language` of each and, where there are very many languages, `most` in
+all, dealt out evenly (one of each at least). Texts are cut to windows where they are read; only those are ranked and collected.
 
-Edge cases: null texts and texts without a letter are `und` with score 0; a short text is one padded window; without training rows
-every text is `und`; rows with a null doc_id are predicted, not held out and not learnt from.
+Edge cases: null texts and texts without a letter are `und` with score 0; a short text is one padded window, a very long one is
+whole, some windows at a time; of equally likely languages the first by name is taken; repeated rows are each predicted and may each
+be learnt from; without training rows (an empty table among others) every text is `und`; rows with a null doc_id are predicted,
+not held out and not learnt from; further columns of docs, whatever their names, are not used.
 """
 
 from __future__ import annotations
@@ -18,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import bounded_sample, fold_of
+from .common import fold_of
 
 LENGTH = 256
 WIDTHS = (2, 3, 4)
@@ -113,35 +117,43 @@ def train(windows: np.ndarray, classes: np.ndarray, languages: list[str], passes
     return net
 
 
-def learn(docs: DataFrame, modulus: int = 4, held: int = 2, per_language: int = 400, windows: int = 6) -> Network | None:
+def learn(docs: DataFrame, modulus: int = 4, held: int = 2, per_language: int = 400, windows: int = 6, most: int = 40_000) -> Network | None:
     """The network from documents whose crc32(doc_id) isn't `held` modulo `modulus`: at most per_language documents of each
-    language, and at most `windows` windows of each, spread over the whole text."""
-    rows = docs.select("doc_id", "text", "lang").where((fold_of("doc_id", modulus) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").count().collect()
-    if not sizes:
+    language, or `most` over their number if that is less (but one), and at most `windows` windows of each, spread over the whole text."""
+    got = training_windows(docs, modulus, held, per_language, windows, most)
+    rows = [] if got is None else sorted((lang, bytes(x)) for lang, x in got.collect())
+    names = sorted({lang for lang, _ in rows})
+    if not names:
+        return None
+    place = {lang: i for i, lang in enumerate(names)}
+    classes = np.repeat([place[lang] for lang, _ in rows], [len(x) // LENGTH for _, x in rows])
+    return train(np.frombuffer(b"".join(x for _, x in rows), np.uint8).reshape(-1, LENGTH), classes, names)
+
+
+def training_windows(docs: DataFrame, modulus: int, held: int, per_language: int, windows: int, most: int) -> DataFrame | None:
+    """(lang, windows) of the documents to learn from, those of the least hashes of each language; None if there are none. The
+    hashes alone are ranked first, to tell which texts to cut; the rank of what is cut then holds the bound for equal hashes too.
+    Tasks prune both ranks before the shuffle."""
+    rows = docs.select("doc_id", "text", "lang").where((fold_of("doc_id", modulus) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("hash", F.xxhash64("doc_id", "text"))
+    order = W.partitionBy("lang").orderBy("hash")
+    last = rows.select("lang", "hash").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("hash").alias("last")).collect()
+    if not last:
         return None
-    shares = [(lang, int(min(1.0, 1.2 * per_language / n + 8 / n) * (1 << 30))) for lang, n in sizes]
-    known = docs.sparkSession.createDataFrame(shares, f"lang {docs.schema['lang'].dataType.simpleString()}, share long")
-    picked = rows.join(F.broadcast(known), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < F.col("share")).select("doc_id", "text", "lang")
-    cap = per_language * len(sizes) * 2
+    each = max(1, min(per_language, most // len(last)))
+    known = docs.sparkSession.createDataFrame([tuple(r) for r in last], f"lang {docs.schema['lang'].dataType.simpleString()}, last long")
+    picked = rows.join(F.broadcast(known), "lang").where(F.col("hash") <= F.col("last")).select("lang", "hash", "text")
 
     def run(batches):
         for batch in batches:
-            out, langs, ids = [], [], []
-            for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                data, _ = windows_of(text)
-                for at in sorted({int(k * len(data) / windows) for k in range(windows)}):
-                    out.append(data[at].tobytes()), langs.append(batch.column(2)[i].as_py()), ids.append(str(batch.column(0)[i].as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["id", "lang", "window"])
-
-    got = bounded_sample(picked, "doc_id", cap).mapInArrow(run, "id string, lang string, window binary").collect()
-    got = sorted(map(tuple, got))
-    names = sorted({lang for _, lang, _ in got})
-    if not names:
-        return None
-    x = np.frombuffer(b"".join(w for _, _, w in got), np.uint8).reshape(-1, LENGTH)
-    place = {lang: i for i, lang in enumerate(names)}
-    return train(x, np.array([place[lang] for _, lang, _ in got]), names)
+            out = []
+            for text in batch.column(2).cast(pa.binary()):
+                data, _ = windows_of(text.as_py())
+                out.append(data[sorted({int(k * len(data) / windows) for k in range(windows)})].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(out, pa.binary())], names=["lang", "hash", "windows"])
+
+    cut = picked.mapInArrow(run, "lang string, hash long, windows binary")
+    rank = F.row_number().over(order)
+    return cut.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "windows")
 
 
 def has_letter(text: str) -> bool:

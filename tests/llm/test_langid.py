@@ -57,3 +57,41 @@ def test_edge_cases(odd, none, spark):
     assert langid.learn(none) is None and langid.predict(none, net).count() == 0
     assert {r.lang_pred for r in langid.predict(odd, None).collect()} == {"und"}
     assert isinstance(langid.learn(odd), langid.Network)
+
+
+def test_the_sample_keeps_its_bounds(spark):
+    rows = [(i if i % 2 else 1, f"text {i % 50} of words", "en") for i in range(3000)] + [(i, "der text", "de") for i in range(40)] + [(1, "same", "fr")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [r.lang for r in langid.training_windows(docs, 4, 2, 100, 6, 40_000).collect()]
+    assert got.count("en") == 100 and got.count("fr") == 100 and 20 < got.count("de") <= 40  # whatever repeats
+    some = langid.training_windows(docs, 4, 2, 100, 6, 30)
+    assert {(lang, [r.lang for r in some.collect()].count(lang)) for lang in ("en", "fr", "de")} == {("en", 10), ("fr", 10), ("de", 10)}
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "text#" not in plan.split("MapInArrow")[0]
+
+
+def test_predictions_by_hand(spark, odd):
+    rng = np.random.default_rng(8)
+    net = langid.Network(["a", "b", "c"], [rng.normal(size=(k, 256, 2)).astype(np.float32) for k in (2, 3)], rng.normal(size=4).astype(np.float32), rng.normal(size=(4, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32))
+    texts = ["one", "Ünïcödé ﬁne 漢字", "x" * 256, "ab " * 200, "", None, "12 34"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in langid.predict(docs, net).collect():
+        text = texts[r.doc_id]
+        if not any(map(str.isalpha, text or "")):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        data, summed = text.encode(), np.zeros(3)
+        for start in range(0, len(data), 256):
+            window = data[start : start + 256]
+            adds = len(window)
+            if adds < 256:
+                window = data[-256:] if len(data) > 256 else window + bytes(256 - adds)
+            pooled = []
+            for table in net.tables:
+                k = len(table)
+                pooled += [max(sum(table[j][window[p + j]][f] for j in range(k)) for p in range(256 - k + 1)) for f in range(2)]
+            logits = np.maximum(np.array(pooled) + net.shift, 0) @ net.dense + net.bias
+            p = np.exp(logits - logits.max())
+            summed += adds * p / p.sum()
+        p = summed / len(data)
+        assert r.lang_pred == net.languages[int(p.argmax())] and abs(r.score - p.max()) < 1e-4
