@@ -5,7 +5,9 @@ negative rank, so that sentencepiece merges in the order of the ranks; the norma
 match of the pattern) is encoded by itself and kept in a memo of bounded size; ids are turned back into bytes by the
 inverse mapping.
 
-Edge cases: null and empty texts have no ids; every text decodes to its own UTF-8 bytes.
+Edge cases: null and empty texts have no ids; every text, very long ones too, decodes to its own UTF-8 bytes; of two merges of one
+rank in a pre-token the left one is done first; repeated rows and rows with a null doc_id are each encoded; an empty table gives no
+rows; further columns of docs, whatever their names, are not used.
 """
 
 from __future__ import annotations

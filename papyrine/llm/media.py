@@ -5,8 +5,11 @@ differences), deflates them and cuts the stream into IDAT chunks with checksums.
 CRC-32, zlib's Adler-32 and the sizes, undoes all five row filters with numpy, and hands back the samples. The hash keeps the
 signs of the 8 x 8 lowest cosine-transform frequencies of the image, resampled by area to 32 x 32, against their median.
 
-Edge cases: null and empty texts are 64 zero bytes; equal texts give equal values; damaged media raise MediaError in the
-codec and give the row an `error` and null features in read_media().
+Edge cases: null and empty texts are 64 zero bytes; very long texts are filtered, deflated and transformed a block of rows at a time;
+equal texts, in repeated rows too, give equal values; of equally good row filters the first of none, sub and up is taken, and a
+frequency equal to the median is 0 in the hash; rows with a null doc_id are stored; an empty table gives no rows; further columns of
+docs, whatever their names, are not used; damaged media raise MediaError in the codec and give the row an `error` and null features
+in read_media().
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from pyspark.sql import DataFrame
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
 IDAT_BYTES = 1 << 16
+#: Rows that are worked on at once.
+BLOCK = 4096
 #: Samples of a pixel by colour type: grey, RGB, palette index, grey and alpha, RGBA.
 SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 
@@ -40,19 +45,28 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(body, zlib.crc32(kind)))
 
 
+def _filtered(rows: np.ndarray, above: np.ndarray | None) -> bytes:
+    """Rows with the number of their filter (none, sub or up, by the least sum of absolute differences) in front of each."""
+    tried = np.empty((3, *rows.shape), np.uint8)
+    tried[0] = rows
+    tried[1, :, 0] = rows[:, 0]
+    np.subtract(rows[:, 1:], rows[:, :-1], out=tried[1, :, 1:])
+    tried[2, 0] = rows[0] if above is None else rows[0] - above
+    np.subtract(rows[1:], rows[:-1], out=tried[2, 1:])
+    kind = np.abs(tried.view(np.int8).astype(np.int16)).sum(2).argmin(0)
+    lines = np.empty((len(rows), rows.shape[1] + 1), np.uint8)
+    lines[:, 0] = kind
+    lines[:, 1:] = tried[kind, np.arange(len(rows))]
+    return lines.tobytes()
+
+
 def encode_png(payload: bytes, width: int = WIDTH, level: int = 6) -> bytes:
     """An 8-bit greyscale PNG of payload, whose length is a positive multiple of width."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, width)
-    filtered = np.empty((3, *rows.shape), np.uint8)
-    filtered[0] = rows
-    filtered[1, :, 0], filtered[2, 0] = rows[:, 0], rows[0]
-    np.subtract(rows[:, 1:], rows[:, :-1], out=filtered[1, :, 1:])
-    np.subtract(rows[1:], rows[:-1], out=filtered[2, 1:])
-    kind = np.abs(filtered.view(np.int8).astype(np.int16)).sum(2).argmin(0)
-    lines = np.empty((len(rows), width + 1), np.uint8)
-    lines[:, 0] = kind
-    lines[:, 1:] = filtered[kind, np.arange(len(rows))]
-    body = zlib.compress(lines.tobytes(), level)
+    deflate, parts = zlib.compressobj(level), []
+    for at in range(0, len(rows), BLOCK):
+        parts.append(deflate.compress(_filtered(rows[at : at + BLOCK], rows[at - 1] if at else None)))
+    body = b"".join([*parts, deflate.flush()])
     header = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
     return b"".join([SIGNATURE, _chunk(b"IHDR", header), *(_chunk(b"IDAT", body[i : i + IDAT_BYTES]) for i in range(0, len(body), IDAT_BYTES)), _chunk(b"IEND", b"")])
 
@@ -95,11 +109,11 @@ def unfilter(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
         raise MediaError(f"row filter {kinds.max()}")
     out = rows.copy()
     sub = np.flatnonzero(kinds == 1)
-    if sub.size:
-        deltas = rows[sub].reshape(len(sub), -1, step)
-        out[sub] = np.cumsum(deltas, axis=1, dtype=np.uint8).reshape(len(sub), -1)
+    for at in range(0, len(sub), BLOCK):
+        some = sub[at : at + BLOCK]
+        out[some] = np.cumsum(rows[some].reshape(len(some), -1, step), axis=1, dtype=np.uint8).reshape(len(some), -1)
     hard = np.flatnonzero(kinds >= 3)
-    cuts = [*hard.tolist(), len(rows)]
+    cuts = sorted({*hard.tolist(), *range(BLOCK, len(rows), BLOCK), len(rows)})
     start, above = 0, np.zeros(rows.shape[1], np.uint8)
     for cut in cuts:
         if cut > start:
@@ -111,11 +125,12 @@ def unfilter(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
                 before[base > 0] = sums[base[base > 0] - 1]
                 before[base < 0] = np.uint8(0) - above  # an up run that starts the block continues the row above it
                 block[:] = sums - before
-        if cut < len(rows):
-            last = out[cut - 1] if cut else np.zeros(rows.shape[1], np.uint8)
-            out[cut] = _sequential(int(kinds[cut]), rows[cut], last, step)
+            above = out[cut - 1]
+        start = cut
+        if cut < len(rows) and kinds[cut] >= 3:
+            out[cut] = _sequential(int(kinds[cut]), rows[cut], above, step)
             above = out[cut]
-        start = cut + 1
+            start = cut + 1
     return out
 
 
@@ -149,10 +164,10 @@ def _cosines(n: int = 32, low: int = 8) -> np.ndarray:
     return np.cos(np.pi * (2 * np.arange(n) + 1) * np.arange(low)[:, None] / (2 * n))
 
 
-def _transform(size: int) -> np.ndarray:
-    """8 x size: resampling by area to 32, then the 8 lowest cosines."""
+def _transform(size: int, first: int = 0, last: int | None = None) -> np.ndarray:
+    """8 x size: resampling by area to 32, then the 8 lowest cosines; of its columns those from first to last."""
     edges = np.arange(33) * (size / 32)
-    at = np.arange(size)
+    at = np.arange(first, size if last is None else last)
     cover = np.clip(np.minimum(edges[1:, None], at + 1) - np.maximum(edges[:-1, None], at), 0, None)
     return _cosines() @ (cover / (size / 32))
 
@@ -162,8 +177,12 @@ _cached = lru_cache(maxsize=512)(_transform)
 
 def low_frequency_hash(image: np.ndarray) -> bytes:
     """8 bytes: which of the 64 lowest frequencies exceed their median."""
-    tall = (_cached if len(image) <= 2048 else _transform)(len(image))
-    coefficients = (tall @ image.astype(np.float64)) @ _cached(image.shape[1]).T
+    n = len(image)
+    if n <= BLOCK:
+        lowest = (_cached if n <= 2048 else _transform)(n) @ image.astype(np.float64)
+    else:
+        lowest = sum(_transform(n, at, min(at + BLOCK, n)) @ image[at : at + BLOCK].astype(np.float64) for at in range(0, n, BLOCK))
+    coefficients = lowest @ _cached(image.shape[1]).T
     flat = np.round(coefficients.ravel(), 6)
     return np.packbits(flat > np.median(flat)).tobytes()
 

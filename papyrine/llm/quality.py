@@ -8,8 +8,10 @@ with the best information gain on two thirds of the sample, is pruned on the oth
 conditions, and is kept if it is precise there; the texts it covers go, and the next rule is grown. rejected() turns the list
 into one ordered conditional expression.
 
-Edge cases: null and empty texts have zero counts, and fail the fixed rule on few words; without labels of both kinds the list is
-empty; ties between conditions go to the first statistic and the lowest threshold; repeated rows stay.
+Edge cases: null and empty texts have zero counts, and fail the fixed rule on few words; very long texts are counted whole; without
+labels of both kinds (an empty table among others) the list is empty; ties between conditions go to the first statistic and the
+lowest threshold; repeated rows stay, each judged; rows with a null doc_id are judged and not learnt from; judged() doesn't use
+further columns of docs, filtered() hands them on, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,8 +10,10 @@ over document counts made in Spark, all words whose log-likelihood ratio is beyo
 and whose share of toxic documents is at least 8 times that of others become terms; the weights are the log-odds, and the logistic is fitted on the
 sample. Phrases of a term and the word before or after that occur in documents without the label only are learnt as exceptions.
 
-Edge cases: null and empty texts have no words and get the score of no match; without labels of both kinds every score is
-the share of toxic labels (0 if none); rows with a null doc_id are scored and not held out.
+Edge cases: null and empty texts have no words and get the score of no match; very long texts are whole; terms that overlap all
+count; a score of exactly 0.5 is predicted 1; repeated rows are each scored, and their words counted once in learning; without labels
+of both kinds (an empty table among others) every score is the share of toxic labels (0 if none); rows with a null doc_id are scored
+and not held out; further columns of docs, whatever their names, are not used.
 """
 
 from __future__ import annotations
@@ -19,9 +21,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -99,7 +103,12 @@ def matches(automaton, folded: str) -> list[tuple[int, int, float]]:
         a, b = last + 1 - size, last + 1
         if (a == 0 or not folded[a - 1].isalnum()) and (b == n or not folded[b].isalnum()):
             (spared if weight is None else terms).append((a, b, weight))
-    return [t for t in terms if not any(a <= t[0] and t[1] <= b for a, b, _ in spared)] if spared else terms
+    if not spared:
+        return terms
+    spared.sort(key=lambda x: x[:2])
+    starts, reach = [a for a, _, _ in spared], list(accumulate((b for _, b, _ in spared), max))
+    # of the phrases that start at or before the term, the one that reaches furthest tells
+    return [t for t in terms if not (k := bisect_right(starts, t[0])) or reach[k - 1] < t[1]]
 
 
 def features(automaton, text: str | None) -> tuple[float, float, int]:

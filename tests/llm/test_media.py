@@ -77,3 +77,32 @@ def test_operator(odd, none):
 def test_read_media_reports_damage(spark):
     rows = media.read_media(spark.createDataFrame([(bytearray(b"no picture"),), (None,)], "media binary")).collect()
     assert all(r.payload is None and r.error for r in rows)
+
+
+def test_blocks_of_rows_change_nothing(monkeypatch):
+    rng = np.random.default_rng(5)
+    text = bytes(rng.integers(97, 123, 64 * 37, dtype=np.uint8))
+    whole, image = media.encode_png(text), media.decode_png(media.encode_png(text))
+    hashed = media.low_frequency_hash(image)
+    rows, kinds = rng.integers(0, 256, (41, 6), dtype=np.uint8), rng.integers(0, 5, 41)
+    for block in (1, 2, 7):
+        monkeypatch.setattr(media, "BLOCK", block)
+        assert zlib.decompress(b"".join(x for k, x in media.chunks(media.encode_png(text)) if k == b"IDAT")) == zlib.decompress(b"".join(x for k, x in media.chunks(whole) if k == b"IDAT"))
+        assert media.decode_png(whole).tobytes() == text and media.low_frequency_hash(image) == hashed
+        assert (media.unfilter(kinds, rows, 2) == plain(kinds, rows, 2)).all()
+
+
+def test_feature_by_hand():
+    """Area means on a fine grid, then the cosine transform's sums, one by one."""
+    rng = np.random.default_rng(6)
+    for height in (1, 3, 32, 50):
+        image = rng.integers(0, 256, (height, 64), dtype=np.uint8)
+        small = np.zeros((32, 32))
+        fine = np.repeat(np.repeat(image.astype(float), 32, 0), 32, 1)
+        for i in range(32):
+            for j in range(32):
+                small[i, j] = fine[i * height : (i + 1) * height, j * 64 : (j + 1) * 64].mean()
+        found = [sum(small[i, j] * np.cos(np.pi * (2 * i + 1) * u / 64) * np.cos(np.pi * (2 * j + 1) * v / 64) for i in range(32) for j in range(32)) for u in range(8) for v in range(8)]
+        found = np.round(found, 6)
+        bits = "".join("1" if x > np.median(found) else "0" for x in found)
+        assert media.low_frequency_hash(image) == int(bits, 2).to_bytes(8, "big")

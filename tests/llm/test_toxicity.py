@@ -1,5 +1,8 @@
 import itertools
+import math
 import random
+import time
+import zlib
 
 from papyrine.llm import toxicity as tx
 
@@ -64,3 +67,38 @@ def test_edge_cases(odd, none, marks, spark):
     assert [r.doc_id for r in rows] == [r.doc_id for r in odd.collect()] and all(0 <= r.score <= 1 and r.held_out is not None for r in rows)
     assert tx.learn(none, marks).weights == {} and tx.score(none, tx.Lexicon()).count() == 0
     assert all(r.predicted == 0 for r in tx.score(odd, tx.learn(odd, marks.where("false"))).collect())
+
+
+def plainly(lexicon, text):
+    """Matches place by place: every term at every place, whole words only, outside all exception phrases."""
+    folded = tx.fold(text)
+    word = lambda a, b: (a == 0 or not folded[a - 1].isalnum()) and (b == len(folded) or not folded[b].isalnum())
+    at = lambda x: [(a, a + len(x)) for a in range(len(folded)) if folded.startswith(x, a) and word(a, a + len(x))]
+    spared = [s for e in lexicon.exceptions for s in at(tx.fold(e))]
+    return sorted((a, b, w) for term, w in lexicon.weights.items() for a, b in at(term) if not any(x <= a and b <= y for x, y in spared))
+
+
+def test_matcher_and_score_against_brute_force(spark):
+    r = random.Random(13)
+    lexicon = tx.Lexicon({tx.fold(t): w for t, w in (("trash", 4.0), ("loser", 2.5), ("can", 1.0), ("you fool", 3.0), ("fool", 2.0))}, ("trash can", "can you", "no fool can"), (-3.0, 2.0, 0.7))
+    parts = ["trash", "TR4SH", "can", "you", "fool", "f00l", "loser", "l0$er", "closer", "no", ",", "!", ".", "é", "xcan", "\n", "\u0441an"]
+    texts = ["".join(r.choice(parts) + r.choice([" ", " ", ""]) for _ in range(r.randint(0, 25))) for _ in range(600)] + ["", None]
+    a = lexicon.automaton()
+    for t in texts:
+        assert sorted(tx.matches(a, tx.fold(t or ""))) == plainly(lexicon, t or "")
+    rows = tx.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), lexicon).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        text = texts[row.doc_id] or ""
+        found = plainly(lexicon, text)
+        total = sum(w for *_, w in found)
+        x = -3.0 + 2.0 * math.log1p(total) + 0.7 * math.log1p(100 * total / max(1, len(text.split())))
+        assert abs(row.score - 1 / (1 + math.exp(-x))) < 1e-9 and row.n_matches == len(found) and row.predicted == (row.score >= 0.5)
+        assert row.held_out == (zlib.crc32(str(row.doc_id).encode()) % 5 == 0)
+
+
+def test_many_exceptions_cost_little():
+    a = tx.Lexicon({"trash": 1.0}, ("trash can",)).automaton()
+    began = time.time()
+    assert len(tx.matches(a, "trash can, trash " * 40_000)) == 40_000
+    assert time.time() - began < 5
