@@ -43,6 +43,8 @@ from pyspark.sql import Window as W
 from .common import shared_dir
 
 FANOUT = 8
+#: Places where a node of many links meets its least neighbour.
+SALTS = 16
 #: Bits of the code of a check.
 WIDE = 256
 #: Pairs of a query and a node that a search holds at once.
@@ -334,17 +336,23 @@ def _starts(rows: pa.Table, key: tuple[str, ...]) -> np.ndarray:
     return new
 
 
+def _with_least(seen: DataFrame, least: DataFrame) -> DataFrame:
+    """seen (u, v) with u's m; a node with very many neighbours meets its row in SALTS places."""
+    salted = least.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return seen.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"])
+
+
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """One contraction: of each node, the neighbours (large: those above it, by its least neighbour; small: those below it and
     itself) are linked to the least. Minima are combined before the shuffle and joined back, so a hot node is never one group."""
     if large:
         seen = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = seen.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = seen.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        out = _with_least(seen, least).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         seen = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
         least = seen.groupBy("u").agg(F.min("v").alias("m"))
-        out = seen.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        out = _with_least(seen, least).select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return out.where("a <> b").distinct()
 
 
