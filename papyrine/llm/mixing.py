@@ -83,7 +83,9 @@ def ranked(groups: DataFrame, bucket: int = BUCKET) -> DataFrame:
     classes = groups.groupBy("key", "class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
     digits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("groups") / bucket) / 4)).cast("int")
     classes = classes.select("key", "class", digits.alias("digits"), F.coalesce(F.sum("n").over(preceding("key", "class")), F.lit(0)).alias("in_key"))
-    dealt = groups.join(classes, ["key", "class"]).withColumn("prefix", F.substring(F.col("hash"), F.lit(1), F.col("digits")))
+    # a class may hold most groups, so it meets its row by a digit of the hash too
+    salted = classes.withColumn("digit", F.explode(F.array(*map(F.lit, "0123456789abcdef"))))
+    dealt = groups.withColumn("digit", F.substring("hash", 32, 1)).join(salted, ["key", "class", "digit"]).drop("digit").withColumn("prefix", F.substring(F.col("hash"), F.lit(1), F.col("digits")))
     buckets = dealt.groupBy("key", "class", "prefix").agg(F.sum("n").alias("n"))
     buckets = buckets.select("key", "class", "prefix", F.coalesce(F.sum("n").over(preceding("key", "class", "prefix")), F.lit(0)).alias("in_class"))
     within = dealt.withColumn("in_bucket", F.coalesce(F.sum("n").over(preceding("key", "class", "prefix", "hash")), F.lit(0)))
