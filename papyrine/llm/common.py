@@ -8,7 +8,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..session import workers_find_engine
 
@@ -64,9 +63,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """The `rows` rows of the smallest hash of the key, the same in every run; for narrow rows, as one task puts them in order."""
-    return df.orderBy(F.xxhash64(key), F.col(key)).limit(rows)
+def hash_below(expected: int, distinct: int) -> int:
+    """A bound of signed 64-bit hashes below which, of so many distinct ones, some 4 * expected + 100 lie: enough for the `expected`
+    least ones, and few to put in order."""
+    return min((1 << 64) - 1, (4 * expected + 100 << 64) // max(1, distinct)) - (1 << 63)
+
+
+def bounded_sample(df: DataFrame, key: str, rows: int, n: int) -> DataFrame:
+    """The `rows` rows of the smallest hash of the key, the same in every run; df has n rows of distinct keys, narrow ones, as one task
+    puts those of small hashes in order."""
+    return df.where(F.xxhash64(key) <= hash_below(rows, n)).orderBy(F.xxhash64(key), F.col(key)).limit(rows)
 
 
 def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, rows_per_class: int, train: Column | None = None) -> DataFrame:
@@ -77,8 +83,13 @@ def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, rows_per_clas
     if train is not None:
         marks = marks.where(train)
     marks = marks.groupBy("doc_id").agg(F.max("label").alias("label"))
-    ids = bounded_sample(marks.where("label = 1"), "doc_id", rows_per_class).unionByName(bounded_sample(marks.where("label = 0"), "doc_id", rows_per_class))
-    times = docs.select("doc_id").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("times"))
-    place = W.partitionBy("label").orderBy("times", F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    within = times.withColumn("rows", F.sum("times").over(place)).where(F.col("rows") <= rows_per_class).select("doc_id", "label")
+    of_label = dict(map(tuple, marks.groupBy("label").count().collect()))
+    first, second = (bounded_sample(marks.where(F.col("label") == k), "doc_id", rows_per_class, of_label.get(k, 0)) for k in (1, 0))
+    times = docs.select("doc_id").join(F.broadcast(first.unionByName(second)), "doc_id").groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("times"), F.xxhash64("doc_id").alias("hash"))
+    held, within = {0: 0, 1: 0}, []
+    for doc_id, label, n, _ in sorted(map(tuple, times.collect()), key=lambda x: (x[2], x[3])):  # 2 * rows_per_class rows at most
+        held[label] += n
+        if held[label] <= rows_per_class:
+            within.append((doc_id, label))
+    within = docs.sparkSession.createDataFrame(within, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int")
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(within), "doc_id")

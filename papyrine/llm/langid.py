@@ -8,8 +8,8 @@ documents of every language that labels name: at most `per_language` of each and
 all, dealt out evenly (one of each at least). Texts are cut to windows where they are read; only those are ranked and collected.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; a short text is one padded window, a very long one is
-whole, some windows at a time; of equally likely languages the first by name is taken; repeated rows are each predicted and may each
-be learnt from; without training rows (an empty table among others) every text is `und`; rows with a null doc_id are predicted,
+whole, some windows at a time; of equally likely languages the first by name is taken; repeated rows are each predicted, and learnt
+from once; without training rows (an empty table among others) every text is `und`; rows with a null doc_id are predicted,
 not held out and not learnt from; further columns of docs, whatever their names, are not used.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import fold_of
+from .common import fold_of, hash_below
 
 LENGTH = 256
 WIDTHS = (2, 3, 4)
@@ -131,16 +131,15 @@ def learn(docs: DataFrame, modulus: int = 4, held: int = 2, per_language: int =
 
 
 def training_windows(docs: DataFrame, modulus: int, held: int, per_language: int, windows: int, most: int) -> DataFrame | None:
-    """(lang, windows) of the documents to learn from, those of the least hashes of each language; None if there are none. The
-    hashes alone are ranked first, to tell which texts to cut; the rank of what is cut then holds the bound for equal hashes too.
-    Tasks prune both ranks before the shuffle."""
+    """(lang, windows) of the documents to learn from, those of the least hashes of id and text in each language, repeated ones once;
+    None if there are none. A bound of hashes, from the number of distinct ones, tells which texts to cut to windows; the rank
+    of what is cut, little more than wanted, then holds the limit."""
     rows = docs.select("doc_id", "text", "lang").where((fold_of("doc_id", modulus) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("hash", F.xxhash64("doc_id", "text"))
-    order = W.partitionBy("lang").orderBy("hash")
-    last = rows.select("lang", "hash").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("hash").alias("last")).collect()
-    if not last:
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("hash")).collect()
+    if not sizes:
         return None
-    each = max(1, min(per_language, most // len(last)))
-    known = docs.sparkSession.createDataFrame([tuple(r) for r in last], f"lang {docs.schema['lang'].dataType.simpleString()}, last long")
+    each = max(1, min(per_language, most // len(sizes)))
+    known = docs.sparkSession.createDataFrame([(lang, hash_below(each, n)) for lang, n in sizes], f"lang {docs.schema['lang'].dataType.simpleString()}, last long")
     picked = rows.join(F.broadcast(known), "lang").where(F.col("hash") <= F.col("last")).select("lang", "hash", "text")
 
     def run(batches):
@@ -152,8 +151,9 @@ def training_windows(docs: DataFrame, modulus: int, held: int, per_language: int
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(out, pa.binary())], names=["lang", "hash", "windows"])
 
     cut = picked.mapInArrow(run, "lang string, hash long, windows binary")
-    rank = F.row_number().over(order)
-    return cut.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "windows")
+    once = cut.groupBy("lang", "hash").agg(F.first("windows").alias("windows"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("hash"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "windows")
 
 
 def has_letter(text: str) -> bool:

@@ -60,12 +60,14 @@ def test_edge_cases(odd, none, spark):
 
 
 def test_the_sample_keeps_its_bounds(spark):
-    rows = [(i if i % 2 else 1, f"text {i % 50} of words", "en") for i in range(3000)] + [(i, "der text", "de") for i in range(40)] + [(1, "same", "fr")] * 500
+    rows = [(i if i % 2 else 1, f"text {i % 50} of words", "en") for i in range(3000)] + [(i, "der text", "de") for i in range(40)] + [(1, "same", "fr")] * 500 + [(i, f"le {i}", "fr") for i in range(5000, 6000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = [r.lang for r in langid.training_windows(docs, 4, 2, 100, 6, 40_000).collect()]
     assert got.count("en") == 100 and got.count("fr") == 100 and 20 < got.count("de") <= 40  # whatever repeats
     some = langid.training_windows(docs, 4, 2, 100, 6, 30)
     assert {(lang, [r.lang for r in some.collect()].count(lang)) for lang in ("en", "fr", "de")} == {("en", 10), ("fr", 10), ("de", 10)}
+    alike = spark.createDataFrame([(1, "same text", "xx")] * 3000, "doc_id long, text string, lang string")
+    assert langid.training_windows(alike, 4, 2, 100, 6, 40_000).count() == 1
     plan = some._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrdered" not in plan and "text#" not in plan.split("MapInArrow")[0]
 
