@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -17,7 +18,7 @@ BROKEN = r"[\x{FFFD}\x{E000}-\x{F8FF}\x{0000}-\x{0008}\x{000B}\x{000C}\x{000E}-\
 VI_LATIN1 = "àáâãèéêìíòóôõùúýÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚÝ"
 LATIN1_SYMBOLS = "°±×÷©®§«»µ¼½¾²³¹¢£¥¤¦¬¯´·¸¿¡ªº"
 IN_WORD_SYMBOLS = "¸µ¶·¹¨©ª«¬®¯°±²³´»¼½¾"
-LEGACY_FONTS = r"^(\.vn|vni-|vni_|vn-|abc)"
+LEGACY_FONTS = (".vn", "vni-", "vni_", "vn-", "abc")
 VI_MARKS = "ăâêôơưđĂÂÊÔƠƯĐ"
 VI_ONLY = "ăắằẳẵặơớờởỡợưứừửữựđạảấầẩẫậẹẻẽếềểễệỉịọỏốồổỗộụủỳỵỷỹ"
 TONES = "̣̀́̃̉"
@@ -26,11 +27,13 @@ EXPECTED = rf"\x{{0000}}-\x{{024F}}\x{{0370}}-\x{{03FF}}\x{{1E00}}-\x{{1EFF}}\x{
 SPECIAL = "%$€£¥₫円±≤≥≠≈×÷°§©®™→←↑↓↔⇒√∞∑∏∫∂∆∇µπσΩαβγδλ‰′″※〒"
 BULLET = r"^[\t-\r ]*([-•●▪◦‣∙*+]|[0-9]{1,3}[.)]|[a-zA-Z][.)]|[ivxIVX]{1,5}[.)])[\t-\r ]+"
 NUMBER = r"[-+−]?[0-9]+(?:[.,\x{00A0}\x{202F}][0-9]+)*%?"
-EN_WORDS = "the and of to in for is on with by as at from that this are be was our we or an it which".split()
+EN_WORDS = ("the", "and", "of", "to", "in", "for", "is", "on", "with", "by", "as", "at", "from", "that", "this", "are", "be", "was", "our", "we", "or", "an", "it", "which")
 VI_ABBREVIATIONS = (
-    "UBND HĐND MTTQ TNHH CTCP TP HCM QĐ NĐ CP TT TTG BTC BCT BYT BGDĐT BXD BKHĐT NHNN NSNN VN VNĐ VND USD TW KT XH KH BC CV SXKD GTGT TNDN TNCN BHXH BHYT BHTN CBCNV CNTT THPT THCS "
-    "ĐH PGS TS THS GS STT ĐVT HĐQT ĐHĐCĐ BKS MST CMND CCCD QLDA XDCB HĐ KHCN PCCC ATTP"
-).split()
+    "UBND", "HĐND", "MTTQ", "TNHH", "CTCP", "TP", "HCM", "QĐ", "NĐ", "CP", "TT", "TTG", "BTC", "BCT", "BYT", "BGDĐT", "BXD", "BKHĐT", "NHNN", "NSNN",
+    "VN", "VNĐ", "VND", "USD", "TW", "KT", "XH", "KH", "BC", "CV", "SXKD", "GTGT", "TNDN", "TNCN", "BHXH", "BHYT", "BHTN", "CBCNV", "CNTT", "THPT",
+    "THCS", "ĐH", "PGS", "TS", "THS", "GS", "STT", "ĐVT", "HĐQT", "ĐHĐCĐ", "BKS", "MST", "CMND", "CCCD", "QLDA", "XDCB", "HĐ", "KHCN", "PCCC",
+    "ATTP",
+)
 #: Letters of the basic plane that came after Unicode 13, which Java 17 knows.
 NEW_LETTERS = r"\x{0870}-\x{0887}\x{0889}-\x{088E}\x{08C8}\x{08C9}\x{0C5D}\x{0CDD}\x{1C89}\x{1C8A}\x{2C2F}\x{2C5F}\x{A7C0}\x{A7C1}\x{A7D0}-\x{A7D9}\x{A7F2}-\x{A7F4}"
 # --- end of fixed values -------------------------------------------------------------------------------------------------
@@ -134,7 +137,7 @@ def garbled_ratio(c: Column) -> Column:
 
 def is_legacy_font(c: Column) -> Column:
     """TXT-05."""
-    return F.substring_index(F.lower(c), "+", -1).rlike(LEGACY_FONTS)
+    return F.substring_index(F.lower(c), "+", -1).rlike("^(" + "|".join(map(re.escape, LEGACY_FONTS)) + ")")
 
 
 def _tone_marks(c: Column) -> Column:
@@ -220,10 +223,16 @@ def special_counts(c: Column) -> Column:
 
 def multiset_recall(reference: Column, candidate: Column) -> Column:
     """TXT-12 on two arrays: items of reference, by number, that candidate has; 1 if there are none."""
-    kinds = F.array_distinct(reference)
-    times = lambda items, k: F.size(F.filter(items, lambda x: x == k))
-    hit = F.aggregate(kinds, F.lit(0), lambda acc, k: acc + F.least(times(reference, k), times(candidate, k)))
-    return F.when(F.size(reference) == 0, 1.0).otherwise(hit / F.size(reference))
+    from_side = lambda items, side: F.transform(items, lambda x: F.struct(x.alias("item"), F.lit(side).alias("side")))
+    start = F.struct(F.lit(None).cast("string").alias("item"), F.lit(0).alias("left"), F.lit(0).alias("hits"))
+
+    def step(acc, x):  # in sorted order an item's references come before its candidates, each of which uses up one of them
+        left = F.when(acc["item"].eqNullSafe(x["item"]), acc["left"]).otherwise(0)
+        used = (x["side"] == 1) & (left > 0)
+        return F.struct(x["item"].alias("item"), F.when(x["side"] == 0, left + 1).otherwise(left - used.cast("int")).alias("left"), (acc["hits"] + used.cast("int")).alias("hits"))
+
+    hits = F.aggregate(F.array_sort(F.concat(from_side(reference, 0), from_side(candidate, 1))), start, step)["hits"]
+    return F.when(F.size(reference) == 0, 1.0).otherwise(hits / F.size(reference))
 
 
 def is_list_item(c: Column) -> Column:

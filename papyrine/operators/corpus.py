@@ -7,7 +7,6 @@ from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,15 +42,15 @@ DOC_TYPES = {
     ],
 }
 LINK_WORDS = {
-    "VN": "quan-he-co-dong quan-he-nha-dau-tu nha-dau-tu co-dong investor shareholder /ir bao-cao tai-chinh thuong-nien cong-bo-thong-tin cbtt dai-hoi nghi-quyet financial annual report disclosure governance quan-tri tai-lieu document".split(),
-    "JP": "/ir ir- -ir ir情報 investor shareholder 株主 投資家 決算 有価証券 ガバナンス ライブラリ library financial results report disclosure 適時開示 統合報告 integrated presentation 説明会 governance kabunushi".split(),
+    "VN": ("quan-he-co-dong", "quan-he-nha-dau-tu", "nha-dau-tu", "co-dong", "investor", "shareholder", "/ir", "bao-cao", "tai-chinh", "thuong-nien", "cong-bo-thong-tin", "cbtt", "dai-hoi", "nghi-quyet", "financial", "annual", "report", "disclosure", "governance", "quan-tri", "tai-lieu", "document"),
+    "JP": ("/ir", "ir-", "-ir", "ir情報", "investor", "shareholder", "株主", "投資家", "決算", "有価証券", "ガバナンス", "ライブラリ", "library", "financial", "results", "report", "disclosure", "適時開示", "統合報告", "integrated", "presentation", "説明会", "governance", "kabunushi"),
 }
 STRONG_WORDS = {
-    "VN": "nha-dau-tu co-dong investor shareholder bao-cao tai-chinh thuong-nien cong-bo dai-hoi nghi-quyet financial annual disclosure report".split(),
-    "JP": "investor /ir ir情報 株主 投資家 決算 有価証券 ライブラリ library financial results 適時開示 統合報告 report".split(),
+    "VN": ("nha-dau-tu", "co-dong", "investor", "shareholder", "bao-cao", "tai-chinh", "thuong-nien", "cong-bo", "dai-hoi", "nghi-quyet", "financial", "annual", "disclosure", "report"),
+    "JP": ("investor", "/ir", "ir情報", "株主", "投資家", "決算", "有価証券", "ライブラリ", "library", "financial", "results", "適時開示", "統合報告", "report"),
 }
 PUBLIC_DOMAINS = r"(^|\.)(edu|gov|ac|go|ed|lg|mil|int)\.[a-z]{2}$|\.(edu|gov|mil|int)$"
-SOCIAL_HOSTS = "facebook.com fb.com google.com linkedin.com youtube.com twitter.com x.com instagram.com tiktok.com wordpress.com blogspot.com wixsite.com wikipedia.org".split()
+SOCIAL_HOSTS = ("facebook.com", "fb.com", "google.com", "linkedin.com", "youtube.com", "twitter.com", "x.com", "instagram.com", "tiktok.com", "wordpress.com", "blogspot.com", "wixsite.com", "wikipedia.org")
 PDF_LINK = re.compile(r"""(?:https?://|/)[^\s"'<>()\\]{1,300}?\.pdf(?![a-z0-9])(?:\?[^\s"'<>()\\]{0,200})?""", re.I)
 FILE_ATTRIBUTES = ("src", "data", "data-href", "data-url", "data-src", "data-file", "data-link", "onclick", "value")
 # --- end of fixed values ----------------------------------------------------------------------------------------------------
@@ -100,9 +99,7 @@ def seeds(lines: DataFrame) -> DataFrame:
 def company_sites(rows: DataFrame, known: DataFrame, tld: str) -> DataFrame:
     """SRC-19: (company, site, industry) to one site for each company and one company for each host; known: hosts to leave out."""
     rows = rows.where(F.col("site").startswith("http")).withColumn("host", tx.domain(F.col("site")))
-    social = F.lit(False)
-    for h in SOCIAL_HOSTS:
-        social |= (F.col("host") == h) | F.col("host").endswith(f".{h}")
+    social = F.col("host").rlike("(^|\\.)(" + "|".join(re.escape(h) for h in SOCIAL_HOSTS) + ")$")
     rows = rows.where((F.col("host") != "") & ~F.col("host").rlike(PUBLIC_DOMAINS) & ~social).join(known, "host", "left_anti")
     best = rows.groupBy("company").agg(F.min(F.struct((~F.col("host").endswith(tld)).alias("foreign"), F.length("site").alias("n"), "site", "industry", "host")).alias("x"))
     one = best.select("company", "x.site", "x.industry", "x.host")
@@ -198,10 +195,15 @@ def select_documents(candidates: DataFrame, per_company: int, per_source: dict[s
         rows = rows.withColumn("n", F.lit(0))
     rows = rows.where(F.col("pick") <= per_company - F.coalesce("n", F.lit(0)))
     place = F.row_number().over(W.partitionBy("source").orderBy(F.sha1(F.concat("company", "url")), "url"))
-    cap = F.lit(10**9)
+    rows = rows.drop("turn", "pick", "n")
+    if not per_source:
+        return rows
+    cap = F.lit(None).cast("int")
     for source, n in per_source.items():
         cap = F.when(F.col("source") == source, n).otherwise(cap)
-    return rows.withColumn("place", place).where(F.col("place") <= cap).drop("turn", "pick", "n", "place")
+    # the constant bound lets tasks prune a source before it meets in one place; sources without a cap aren't ranked at all
+    capped = rows.where(cap.isNotNull()).withColumn("place", place).where(F.col("place") <= max(per_source.values())).where(F.col("place") <= cap).drop("place")
+    return capped.unionByName(rows.where(cap.isNull()))
 
 
 def kept_pages(sha: Column, pages: Column, limit: Column) -> Column:
@@ -229,13 +231,13 @@ def greedy_caps(rows: DataFrame, outer: str, inner: str, per_inner: int, per_out
 def balanced_draws(pages: DataFrame, draws: int, seed: int = 3) -> DataFrame:
     """SL-09: page draws spread evenly over languages, then documents, then pages: the k-th draw of a language takes its documents
     in turn, and of a document its pages in turn, in hashed order. pages: lang, path, page."""
-    h = lambda *c: F.xxhash64(*c, F.lit(seed))
+    h = lambda *c: F.sha1(F.concat_ws(":", *[F.col(x).cast("string") for x in c], F.lit(str(seed))))
     turn = F.row_number().over(W.partitionBy("lang", "path").orderBy(h("path", "page"), "page"))
     rows = pages.withColumn("turn", turn).withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("turn", h("path"), "path")))
-    n_lang = pages.select("lang").distinct().count()
-    of = rows.groupBy("lang").agg(F.max("k").alias("n"))
-    quota = -(-draws // max(1, n_lang))
-    rows = rows.join(of, "lang").withColumn("times", F.floor((quota - F.col("k")) / F.col("n")) + 1).where("times > 0")
+    of = pages.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    quota = -(-draws // max(1, of.count()))
+    # a language's places beyond the quota are never drawn: tasks prune them before it meets in one place
+    rows = rows.where(F.col("k") <= quota).join(of, "lang").withColumn("times", F.floor((quota - F.col("k")) / F.col("n")) + 1)
     return rows.select("lang", "path", "page", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("time")).select("lang", "path", "page")
 
 
@@ -314,8 +316,3 @@ def remapped(new: DataFrame, old: DataFrame, fallback: DataFrame) -> DataFrame:
     near = fallback.join(old.select(F.col("ch").alias("to"), F.col("row").alias("near_row")), "to").groupBy("ch").agg(F.min(F.struct("rank", "near_row")).alias("n"))
     made = new.join(old, "ch", "left").join(near, "ch", "left")
     return made.select("ch", F.coalesce("row", "n.near_row").alias("row"), F.when(F.col("row").isNotNull(), "same").when(F.col("n").isNotNull(), "fallback").otherwise("random").alias("how"))
-
-
-def as_pandas(df: DataFrame, rows: int = 1000) -> pd.DataFrame:
-    """For reports: the first rows of a small result."""
-    return df.limit(rows).toPandas()

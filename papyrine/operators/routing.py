@@ -91,8 +91,12 @@ def number_issues(candidate: Column, reference: Column, complete: Column) -> Col
 
 def text_issues(content: Column, method: Column, confidence: Column, agreement: Column, line_scores: Column) -> Column:
     """VAL-03 on NFC text."""
-    garbled, dropout = tx.garbled_ratio(content), tx.dropout_ratio(content)
     ocr = method == "ocr"
+    ratios = F.struct(tx.garbled_ratio(content).alias("garbled"), F.when(ocr, tx.dropout_ratio(content)).alias("dropout"))
+    return tx.let(ratios, lambda r: _text_issues(r["garbled"], r["dropout"], ocr, confidence, agreement, line_scores))
+
+
+def _text_issues(garbled: Column, dropout: Column, ocr: Column, confidence: Column, agreement: Column, line_scores: Column) -> Column:
     low = F.when(F.size(line_scores) > 0, F.size(F.filter(line_scores, lambda s: s < SETTINGS["low_line"])) / F.size(line_scores))
     return _issues(
         (garbled > SETTINGS["max_garbled"], F.concat(F.lit("garbled characters ("), percent(garbled), F.lit(")"))),

@@ -18,7 +18,9 @@ from .views import Tables
 def signals(t: Tables) -> DataFrame:
     """The flagship: text signals, page kind, plan, validation and statistics of every document."""
     garbled = tx.garbled_ratio(F.col("text"))
-    rows = t.documents.select("lang", "n_chars", garbled.alias("g"), layout.page_kind(F.col("n_chars"), garbled, F.lit(0.0), F.lit(True)).alias("kind"))
+    # a column of its own: used twice below, so the optimiser leaves it computed once
+    rows = t.documents.select("lang", "n_chars", garbled.alias("g"))
+    rows = rows.select("lang", "n_chars", "g", layout.page_kind(F.col("n_chars"), F.col("g"), F.lit(0.0), F.lit(True)).alias("kind"))
     plan = routing.plan(F.lit("text"), F.col("kind"), F.lit(1.0), F.col("n_chars"), F.lit(0), F.lit(False))
     issues = F.when(F.col("g") > routing.SETTINGS["max_garbled"], F.array(F.lit("garbled"))).otherwise(F.array().cast("array<string>"))
     verdict = routing.verdict(F.lit("text"), F.lit("pdf_text"), F.lit("x"), F.lit(None).cast("string"), issues, F.lit(None).cast("double"))

@@ -30,7 +30,7 @@ def query(name: str, sql: str | None, *with_views: str):
 
 
 def _load() -> dict[str, tuple[Callable, str | None]]:
-    for module in ("text_queries", "set_queries", "extraction_queries", "flow_queries", "relational_queries"):
+    for module in ("text_queries", "set_queries", "extraction_queries", "flow_queries", "relational_queries", "service_queries"):
         import_module(f"{__package__}.{module}")
     return _FOUND
 

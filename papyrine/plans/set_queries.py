@@ -396,7 +396,12 @@ def truths(t: Tables) -> DataFrame:
 
 @query("SL-01", "SELECT doc_id, row_number() OVER (ORDER BY lang NULLS LAST, n_chars, doc_id) AS place FROM documents")
 def ordered(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.row_number().over(W.orderBy(F.asc_nulls_last("lang"), "n_chars", "doc_id")).cast("long").alias("place"))
+    """Places within each length of each language, after the numbers of those before it: only the table of numbers is one group."""
+    rows = t.documents.select("doc_id", F.struct(F.col("lang").isNull().alias("last"), "lang", "n_chars").alias("key"))
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select(F.col("key").alias("of"), F.coalesce(F.sum("n").over(W.orderBy("key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = rows.withColumn("own", F.row_number().over(W.partitionBy("key").orderBy("doc_id")))
+    return own.join(before, F.col("key").eqNullSafe(F.col("of"))).select("doc_id", (F.col("before") + F.col("own")).alias("place"))
 
 
 @query("SL-02", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 15")
@@ -442,7 +447,9 @@ def ordered_distinct(t: Tables) -> DataFrame:
     return t.attempts.groupBy("region").agg(F.array_join(items, ",").alias("methods"))
 
 
-@query("SL-09", None)
+@query("SL-09", """WITH p AS (SELECT language AS lang, url AS path, unnest(range(1, pages + 1)) AS page FROM manifest), t AS (SELECT *, row_number() OVER (PARTITION BY lang, path ORDER BY sha1(path || ':' || page || ':3'), page) AS turn FROM p),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY turn, sha1(path || ':3'), path) AS k, count(*) OVER (PARTITION BY lang) AS n FROM t), q AS (SELECT *, CAST(ceil(4000.0::DOUBLE / (SELECT count(DISTINCT lang) FROM p)) AS BIGINT) AS quota FROM k)
+SELECT lang, path, CAST(page AS INT) AS page FROM (SELECT lang, path, page, unnest(range((quota - k) // n + 1)) AS time FROM q WHERE k <= quota)""", "manifest")
 def draws(t: Tables) -> DataFrame:
     pages = t.manifest.select(F.col("language").alias("lang"), F.col("url").alias("path"), F.explode(F.sequence(F.lit(1), F.col("pages"))).alias("page"))
     return corpus.balanced_draws(pages, 4000)

@@ -150,7 +150,11 @@ def slugs(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(tx.fold(F.col("text")).cast("binary")).alias("slug"))
 
 
-@query("TXT-22", None)
+def _type_sql(country: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(s, '{pattern}') THEN '{name}'" for name, pattern in corpus.DOC_TYPES[country]) + " ELSE 'other' END"
+
+
+@query("TXT-22", f"SELECT doc_id, {_type_sql('VN')} AS vn, {_type_sql('JP')} AS jp FROM (SELECT doc_id, coalesce(lower(nfc_normalize(text)), '') AS s FROM documents)")
 def document_types(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", corpus.doc_type(tx.nfc(F.col("text")), "VN").alias("vn"), corpus.doc_type(tx.nfc(F.col("text")), "JP").alias("jp"))
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -17,6 +19,18 @@ def workers_find_engine(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, ROOT]))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below spark.checkpoint.dir, which driver and executors share; on one machine, where that is unset, below a
+    temporary folder. On a cluster without it this is an error."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="papyrine-")
+    return f"{found}/papyrine-{name}-{uuid.uuid4().hex}"
+
+
 def local_session(cores: str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
     """A session on this machine, for tests and benchmarks."""
     spark = (

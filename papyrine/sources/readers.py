@@ -15,9 +15,9 @@ from ..functions.udf import vectorised
 
 #: Suffixes by what becomes of the file. Fixed values.
 SUFFIXES = {
-    "direct": "pdf docx png jpg jpeg tif tiff bmp webp gif".split(),
-    "docx": "doc rtf odt wpd".split(),
-    "pdf": "ppt pptx odp xls xlsx ods csv html htm txt md epub".split(),
+    "direct": ("pdf", "docx", "png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp", "gif"),
+    "docx": ("doc", "rtf", "odt", "wpd"),
+    "pdf": ("ppt", "pptx", "odp", "xls", "xlsx", "ods", "csv", "html", "htm", "txt", "md", "epub"),
 }
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 

@@ -25,3 +25,12 @@ def append_route_log(log: DataFrame, path: str) -> None:
 def write_manifest(items: DataFrame, path: str) -> None:
     """SNK-10: JSON lines in folders of split and category."""
     items.write.mode("overwrite").partitionBy("split", "category").json(path)
+
+
+def resume_report(rows: DataFrame, key: str, path: str) -> None:
+    """SNK-09: appends the rows whose key the report at path lacks, so that a run that was broken off goes on where it stood."""
+    spark = rows.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti").select(*rows.columns)
+    rows.write.mode("append").parquet(path)
