@@ -3,16 +3,25 @@ are read back."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from ..engine import Engine, Systems
 from ..functions.geometry import Box
+from ..functions.udf import vectorised
 from ..operators import corpus, handlers, layout
+from ..session import scratch
 from ..settings import PRODUCTS
 from ..sources import readers, writers
-from ..session import scratch
 from ..streaming import jobs
 from .registry import query
+from .text_queries import GARBLED
 from .views import Tables
 
 # --- sources ----------------------------------------------------------------------------------------------------------------
@@ -276,3 +285,79 @@ def streamed_log(t: Tables) -> DataFrame:
         jobs.append_log(_stream(t, "events").select("event_id", "event_type"), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     rows = t.spark.read.schema("event_id long, event_type string").json(f"{out}/rows")
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+# --- the engine as one object, DOCX -----------------------------------------------------------------------------------------
+
+PARTS_SQL = r"list_filter(list_transform(regexp_split_to_array(text, '\n[ \t\r]*\n'), lambda x: trim(x, ' ')), lambda x: trim(x, chr(10) || chr(13) || chr(9) || ' ') <> '')"
+
+
+@query("UDF-05", f"SELECT 'd' || doc_id AS stem, CASE WHEN text IS NOT NULL THEN CASE WHEN len(p) > 0 THEN sha256(trim(array_to_string(p, chr(10) || chr(10)), ' ') || chr(10)) ELSE sha256('') END END AS markdown, len(coalesce(p, [])) AS regions FROM (SELECT doc_id, text, {PARTS_SQL} AS p FROM documents)")
+def extracted(t: Tables) -> DataFrame:
+    """Documents as text files through the public interface; a quarter of their paragraphs' plans are the engine's own."""
+    files = t.documents.select(F.concat(F.lit("in/d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    made = Engine(t.spark).extract(files).documents
+    return made.select("stem", F.sha2("markdown", 256).alias("markdown"), F.col("regions").cast("long").alias("regions"))
+
+
+@query("EX-11", "SELECT doc_id, text AS output, CASE WHEN text IS NULL THEN 'no text' END AS error FROM documents")
+def text_layer_system(t: Tables) -> DataFrame:
+    files = t.documents.select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return Systems().by_name["text_layer"](files).select(F.col("path").cast("long").alias("doc_id"), "output", "error")
+
+
+@query("UDF-04", "SELECT source AS category, count(*) AS documents, CAST(sum(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS failed, round(avg(CASE WHEN doc_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS cer FROM documents WHERE length(trim(lang)) > 0 GROUP BY source")
+def plugged_in(t: Tables) -> DataFrame:
+    """A system of the caller's: it reads what is there, and fails on a third."""
+    failing = F.col("path").cast("long") % 3 == 0
+    systems = Systems().register("own", lambda files: files.select("path", F.when(~failing, F.decode("content", "UTF-8")).alias("output"), F.when(failing, "timeout").alias("error")))
+    docs = t.documents.where("length(trim(lang)) > 0").select(F.col("doc_id").cast("string").alias("path"), "lang", "source")
+    rows = systems.run("own", docs.select("path", F.encode("lang", "UTF-8").alias("content")), docs.select("path", F.col("lang").alias("truth"), F.col("source").alias("category")))
+    return rows.groupBy("category").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.round(F.avg("cer"), 6).alias("cer"))
+
+
+@vectorised("binary")
+def _docx_of(texts: pd.Series) -> pd.Series:
+    def one(parts) -> bytes:
+        body = "".join(f'<w:p><w:pPr><w:pStyle w:val="{"Heading2" if i % 3 == 0 else "Normal"}"/></w:pPr><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for i, x in enumerate(parts))
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+        return out.getvalue()
+
+    return texts.map(one)
+
+
+@query("SRC-08", "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS place, CASE WHEN (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) % 3 = 0 THEN 'heading' ELSE 'text' END AS type, text FROM conversations WHERE text = trim(text) AND text <> ''")
+def docx_blocks(t: Tables) -> DataFrame:
+    """Conversations written as DOCX files, whose blocks are read."""
+    rows = t.conversations.where("text = trim(text) and text <> ''").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x.text).alias("parts"))
+    return readers.docx(rows.select("conv_id", _docx_of(F.col("parts")).alias("content"))).select("conv_id", "place", "type", "text")
+
+
+@query("SRC-23", "SELECT path, kind, count(*) AS regions FROM (SELECT 'c' || conv_id || '.docx' AS path, 'docx' AS kind FROM conversations WHERE text = trim(text) AND text <> '' UNION ALL SELECT 'd' || doc_id || '.txt', 'pdf_text' FROM (SELECT doc_id, unnest(" + PARTS_SQL + ") FROM documents)) GROUP BY ALL")
+def mixed_files(t: Tables) -> DataFrame:
+    """DOCX files, whose blocks are final, and text files, whose paragraphs are routed, in one run."""
+    talks = t.conversations.where("text = trim(text) and text <> ''").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x.text).alias("parts"))
+    files = talks.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".docx")).alias("path"), _docx_of(F.col("parts")).alias("content"))
+    files = files.unionByName(t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content")))
+    return Engine(t.spark).extract(files).regions.groupBy(F.col("doc").alias("path"), F.col("method").alias("kind")).agg(F.count(F.lit(1)).alias("regions"))
+
+
+@query("FLT-04-drawings", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY idx DESC, l_partkey DESC, x0, y0) AS rn FROM boxes)
+SELECT d.page, d.idx, d.l_partkey FROM r d WHERE rn = 1 AND (d.x1 - d.x0) * (d.y1 - d.y0) >= 0.02::DOUBLE * 500000 AND d.x1 - d.x0 >= 40 AND d.y1 - d.y0 >= 40
+  AND NOT EXISTS (SELECT 1 FROM r t WHERE t.page = d.page AND t.rn > 1 AND t.type = 'table' AND greatest(0, least(d.x1, t.x1) - greatest(d.x0, t.x0)) * greatest(0, least(d.y1, t.y1) - greatest(d.y0, t.y0)) > 0.5 * least((d.x1 - d.x0) * (d.y1 - d.y0), (t.x1 - t.x0) * (t.y1 - t.y0)))
+  AND coalesce((SELECT sum(t.l_partkey % 300) FROM r t WHERE t.page = d.page AND t.rn > 1 AND t.type <> 'table' AND (t.x0 + t.x1) / 2 BETWEEN d.x0 AND d.x1 AND (t.y0 + t.y1) / 2 BETWEEN d.y0 AND d.y1), 0) <= 400""", "boxes")
+def drawings(t: Tables) -> DataFrame:
+    """The last box of a page as its drawing, tables as candidates, the others as lines."""
+    rows = t.boxes.withColumn("rn", F.row_number().over(W.partitionBy("page").orderBy(F.desc("idx"), F.desc("l_partkey"), "x0", "y0")))
+    kind = F.when(F.col("rn") == 1, "drawing").when(F.col("type") == "table", "candidate").otherwise("line")
+    taken = layout.figure_drawings(rows.select("page", F.col("rn").alias("idx"), kind.alias("kind"), "x0", "y0", "x1", "y1", (F.col("l_partkey") % 300).alias("chars")), ["page"], 500000.0)
+    return rows.join(taken.select("page", F.col("idx").alias("rn")), ["page", "rn"]).select("page", "idx", "l_partkey")
+
+
+@query("FLT-11-trusted", f"""WITH d AS (SELECT *, {GARBLED} AS g FROM documents) SELECT DISTINCT source AS page FROM documents WHERE source <> 'web' AND source NOT IN (SELECT source FROM d WHERE length(trim(text)) >= 20 AND g > 0.02)""")
+def trusted(t: Tables) -> DataFrame:
+    """Sources as pages, one of them in a legacy font, documents as their blocks."""
+    pages = t.documents.select(F.col("source").alias("page")).distinct().select("page", F.lit("digital").alias("kind"), (F.col("page") == "web").alias("legacy_fonts"))
+    return corpus.trusted_pages(pages, t.documents.select(F.col("source").alias("page"), "text"), ["page"]).select("page")
