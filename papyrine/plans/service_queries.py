@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..engine import Engine, Systems
+from ..functions import images
 from ..functions.geometry import Box
 from ..functions.udf import vectorised
-from ..operators import corpus, handlers, layout
+from ..operators import corpus, execute, handlers, layout
 from ..session import scratch
-from ..settings import PRODUCTS
+from ..settings import PRODUCTS, Engines
 from ..sources import readers, writers
 from ..streaming import jobs
 from .registry import query
@@ -361,3 +362,55 @@ def trusted(t: Tables) -> DataFrame:
     """Sources as pages, one of them in a legacy font, documents as their blocks."""
     pages = t.documents.select(F.col("source").alias("page")).distinct().select("page", F.lit("digital").alias("kind"), (F.col("page") == "web").alias("legacy_fonts"))
     return corpus.trusted_pages(pages, t.documents.select(F.col("source").alias("page"), "text"), ["page"]).select("page")
+
+
+@vectorised("struct<inverted:boolean,stretched:boolean>", once=True)
+def _tones(pixels: pd.Series) -> pd.DataFrame:
+    made = []
+    for x in pixels:
+        grey = images.square(x)
+        light = images.dark_on_light(grey)
+        made.append((light is not grey, images.stretched(light)[1]))
+    return pd.DataFrame(made, columns=["inverted", "stretched"], index=pixels.index)
+
+
+@query("IMG-03", """SELECT vec_id, list_median(v) < 128 AND list_median(list_concat(list_concat(v[1:side], v[-side:]), list_concat(list_filter(v, lambda x, i: (i - 1) % side = 0), list_filter(v, lambda x, i: i % side = 0)))) < 128 AS inverted, list_stddev_pop(v) < 45 AS stretched
+FROM (SELECT vec_id, side, list_concat(list_transform(e, lambda x: (x - low) * (255.0::DOUBLE / (high - low))), list_transform(range(side * side - len(e)), lambda i: 255.0::DOUBLE)) AS v FROM (
+  SELECT vec_id, e, CAST(ceil(sqrt(len(e))) AS BIGINT) AS side, list_min(e) AS low, list_max(e) AS high FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)))""")
+def tones(t: Tables) -> DataFrame:
+    """Embeddings as small grey images: which are light on dark, which are faint."""
+    return t.embeddings.select("vec_id", _tones(F.col("embedding").cast("array<double>")).alias("c")).select("vec_id", "c.*")
+
+
+@query("UDF-01", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN upper(source) END AS content, CASE WHEN doc_id % 2 = 1 THEN 'KeyError: no reader' END AS error FROM documents")
+def engines_by_name(t: Tables) -> DataFrame:
+    """Two engines registered by name, one of which fails on all its batches."""
+
+    def loud(batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"region_id": batch["region_id"], "content": batch["text_layer"].str.upper()})
+
+    def broken(batch: pd.DataFrame) -> pd.DataFrame:
+        raise KeyError("no reader")
+
+    engines = Engines().register("loud", loud).register("broken", broken)
+    rows = t.documents.select(F.col("doc_id").cast("string").alias("region_id"), F.col("source").alias("text_layer"), (F.col("doc_id") % 2).alias("k"))
+    made = [execute.run_engine(rows.where(F.col("k") == k).drop("k"), engines.by_method[name]) for k, name in enumerate(engines.available)]
+    return made[0].unionByName(made[1]).select(F.col("region_id").cast("long").alias("doc_id"), "content", F.replace("error", F.lit("'"), F.lit("")).alias("error"))
+
+
+@query("UDF-09", "SELECT user_id, round(sum(s * w) / sum(w), 6) AS confidence FROM (SELECT user_id, value / 100 AS s, greatest(1, length(event_type)) AS w FROM events) GROUP BY user_id")
+def confidences(t: Tables) -> DataFrame:
+    """A user's events as the lines of one reading."""
+    line = F.struct(F.col("event_type").alias("text"), (F.col("value") / 100).alias("score"))
+    return t.events.groupBy("user_id").agg(F.collect_list(line).alias("l")).select("user_id", F.round(handlers.reading(F.col("l"))["confidence"], 6).alias("confidence"))
+
+
+@query("STR-04", "SELECT source, sha256(string_agg('d' || doc_id || chr(10), '' ORDER BY doc_id)) AS sha256, CAST(sum(length('d' || doc_id) + 1) AS BIGINT) AS n FROM documents GROUP BY source")
+def pushed_files(t: Tables) -> DataFrame:
+    """A file for each source put into a watched folder, extracted by the stream."""
+    folder, out = scratch(t.spark, "inbox"), scratch(t.spark, "extracted")
+    lines = t.documents.select("source", "doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("value"))
+    lines.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(folder)
+    files = jobs.new_documents(jobs.inbox(t.spark, folder))
+    jobs.run_jobs(files, lambda batch: batch.select("path", "sha256", F.octet_length("content").cast("long").alias("n")), out, f"{out}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{out}/results").select(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"), "sha256", "n")
