@@ -85,11 +85,10 @@ def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, rows_per_clas
     marks = marks.groupBy("doc_id").agg(F.max("label").alias("label"))
     of_label = dict(map(tuple, marks.groupBy("label").count().collect()))
     first, second = (bounded_sample(marks.where(F.col("label") == k), "doc_id", rows_per_class, of_label.get(k, 0)) for k in (1, 0))
-    times = docs.select("doc_id").join(F.broadcast(first.unionByName(second)), "doc_id").groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("times"), F.xxhash64("doc_id").alias("hash"))
-    held, within = {0: 0, 1: 0}, []
-    for doc_id, label, n, _ in sorted(map(tuple, times.collect()), key=lambda x: (x[2], x[3])):  # 2 * rows_per_class rows at most
-        held[label] += n
-        if held[label] <= rows_per_class:
-            within.append((doc_id, label))
-    within = docs.sparkSession.createDataFrame(within, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int")
+    times = docs.select("doc_id").join(F.broadcast(first.unionByName(second)), "doc_id").groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("times"))
+    # one array of rows_per_class ids at most for each label; of it the first ids whose rows are within the bound
+    listed = times.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("times", F.xxhash64("doc_id").alias("hash"), "doc_id"))).alias("ids"))
+    start = F.struct(F.lit(0).cast("long").alias("rows"), F.lit(0).alias("n"))
+    counted = F.aggregate("ids", start, lambda acc, x: F.struct((acc["rows"] + x["times"]).alias("rows"), (acc["n"] + (acc["rows"] + x["times"] <= rows_per_class).cast("int")).alias("n")))
+    within = listed.select("label", F.explode(F.slice(F.col("ids"), F.lit(1), counted["n"])).alias("x")).select("x.doc_id", "label")
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(within), "doc_id")
