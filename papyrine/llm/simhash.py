@@ -337,9 +337,10 @@ def _starts(rows: pa.Table, key: tuple[str, ...]) -> np.ndarray:
 
 
 def _with_least(seen: DataFrame, least: DataFrame) -> DataFrame:
-    """seen (u, v) with u's m; a node with very many neighbours meets its row in SALTS places."""
+    """seen (u, v) with u's m; a node with very many neighbours meets its row in SALTS places. Never by a broadcast: the table of
+    nodes grows with the corpus."""
     salted = least.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    return seen.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"])
+    return seen.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["u", "salt"])
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
