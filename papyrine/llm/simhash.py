@@ -45,6 +45,8 @@ from .common import shared_dir
 FANOUT = 8
 #: Places where a node of many links meets its least neighbour.
 SALTS = 16
+#: A key of more than one row in so many is joined by a broadcast list; there are fewer than that many such keys.
+SHARE = 1024
 #: Bits of the code of a check.
 WIDE = 256
 #: Pairs of a query and a node that a search holds at once.
@@ -279,17 +281,32 @@ def _node() -> Column:
     return F.concat(F.unhex(F.lpad(F.hex("fp"), 16, "0")), F.col("wide"))
 
 
-def similar_links(codes: DataFrame, bits: int = 4, share: int = 2, cell: int = 4096, far: int | None = None) -> DataFrame:
+def _met(many: DataFrame, one: DataFrame, key: list[str], total: int) -> DataFrame:
+    """many joined with one, which has one row for each key (null: a key too), and in `n` how many rows of many that key has, in all
+    not more than `total`. Keys of more than one row in SHARE are fewer than SHARE, so their rows of one are broadcast and those of many
+    stay where they are; the others are shuffled, and none of them is large."""
+    one = one.withColumnsRenamed({c: f"met_{c}" for c in key})
+    same = [F.col(c).eqNullSafe(F.col(f"met_{c}")) for c in key]
+    large = F.col("n") * SHARE > total
+    hot = F.broadcast(one.where(large))
+    rest = many.join(hot, same, "left_anti").join(one.where(~large), same)
+    return many.join(hot, same).unionByName(rest).drop(*[f"met_{c}" for c in key])
+
+
+def similar_links(codes: DataFrame, bits: int = 4, share: int = 2, cell: int = 4096, far: int | None = None, total: int | None = None) -> DataFrame:
     """Links (a, b), a > b, between distinct fingerprints (`fp`), that connect what is within `bits` bits; each is itself
     within `bits` bits. codes: one row for each fingerprint. With `far`, codes has a column `wide` too, whose codes must be within
-    `far` bits; one row for each pair of both, and the links are between values of _node()."""
+    `far` bits; one row for each pair of both, and the links are between values of _node(). total: the rows of codes, or more; counted
+    if not given."""
+    total = codes.count() if total is None else total
     wide = [] if far is None else ["wide"]
     masks = part_masks(bits, share)
     keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(_long(m)).alias("pattern")) for i, m in enumerate(masks)])
     dealt = codes.select("fp", *wide, F.explode(keys).alias("k")).select("fp", *wide, "k.part", "k.pattern")
     crowded = dealt.groupBy("part", "pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     slices = F.ceil(F.col("n") / cell).cast("int")
-    met = dealt.join(crowded, ["part", "pattern"])  # a fingerprint alone in its bucket has no partner there
+    # a fingerprint alone in its bucket has no partner there; each mask deals out every fingerprint once
+    met = _met(dealt, crowded, ["part", "pattern"], total * len(masks))
     met = met.withColumn("slices", slices).withColumn("own", F.pmod(F.xxhash64("fp", *wide), F.col("slices")).cast("int"))
     other = F.sequence(F.lit(0), F.col("slices") - 1)
     met = met.select("fp", *wide, "part", "pattern", "own", F.explode(other).alias("other"))
@@ -376,14 +393,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, share: int
     component_id (the least doc_id that links reach) of every row of docs."""
     shared_dir(docs.sparkSession)
     prints = fingerprints(docs, shingle, check and check[0]).checkpoint()
+    total = prints.count()
     key = ["fp", "wide"] if check else ["fp"]
-    codes = prints.groupBy(*key).agg(F.min("doc_id").alias("least")).withColumn("node", _node() if check else F.col("fp"))
-    roots = components(similar_links(codes.select(*key), bits, share, cell, check and differing(check[1])))
-    rooted = codes.join(roots, "node", "left").select(*key, "least", F.coalesce("root", "node").alias("root"))
-    # cut here, so that the join below has an exchange on both sides, whose large partitions Spark can split
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id")).checkpoint()
-    members = rooted.join(named, "root").select(*key, "root", "component_id")
-    return prints.join(members, key).select("doc_id", "text_hash", "fp", "root", "component_id")
+    codes = prints.groupBy(*key).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).withColumn("node", _node() if check else F.col("fp"))
+    roots = components(similar_links(codes.select(*key), bits, share, cell, check and differing(check[1]), total))
+    rooted = codes.join(roots, "node", "left").select(*key, "least", "copies", F.coalesce("root", "node").alias("root")).checkpoint()
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    members = _met(rooted, named, ["root"], total).select(*key, "root", "component_id", F.col("copies").alias("n")).checkpoint()
+    return _met(prints, members, key, total).select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def representatives(docs: DataFrame, **how) -> DataFrame:
@@ -392,7 +409,7 @@ def representatives(docs: DataFrame, **how) -> DataFrame:
     rows = near_duplicates(docs, **how).groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")).alias("x")).select("x.doc_id", "x.text_hash", "x.n")
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_hash"))
-    kept = whole.join(first, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")))
+    kept = _met(whole, first.withColumnsRenamed({"doc_id": "own_id", "text_hash": "own_hash"}), ["own_id", "own_hash"], docs.count())
     once, again = kept.where("n = 1"), kept.where("n > 1")
     place = F.row_number().over(W.partitionBy("own_id", "own_hash").orderBy("own_hash"))
     return once.select("row").unionAll(again.withColumn("place", place).where("place = 1").select("row")).select("row.*")

@@ -116,6 +116,31 @@ def test_representatives(odd, none):
     assert simhash.representatives(none).count() == 0
 
 
+def test_large_keys_are_met_apart(spark):
+    """A third of the rows of one key, a third of none, the others a row or two each: every row meets its key's row, once."""
+    keys = [7] * 1000 + [None] * 1000 + [k // 2 for k in range(100, 1100)]
+    many = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k int")
+    sizes = {k: keys.count(k) for k in set(keys)}
+    one = spark.createDataFrame([(k, f"of {k}", n) for k, n in sizes.items()] + [(5000, "absent", 1)], "k int, name string, n long")
+    got = simhash._met(many, one, ["k"], len(keys))
+    assert got.columns == ["i", "k", "name", "n"]
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == [(i, k, f"of {k}", sizes[k]) for i, k in enumerate(keys)]
+
+
+def test_large_groups_of_copies(spark):
+    """Copies of one text, with and without ids, beside nulls and texts of their own."""
+    texts = ["a text that many rows hold in whole " * 2] * 1200 + [None] * 700 + [" ".join(f"w{i}x{j}" for j in range(9)) for i in range(300)]
+    rows = spark.createDataFrame([(None if i % 3 == 0 else i, x, str(i)) for i, x in enumerate(texts)], "doc_id long, text string, n string")
+    want = brute_components([brute_fingerprint(x) for x in texts])
+    got = simhash.near_duplicates(rows)
+    least = {k: min((i for i, v in enumerate(want) if v == k and i % 3), default=None) for k in set(want.tolist())}
+    key = lambda t: (t[0] is None, t[0] or 0, t[1] is None, t[1] or 0)
+    assert sorted(((r.doc_id, r.component_id) for r in got.collect()), key=key) == sorted(((None if i % 3 == 0 else i, least[v]) for i, v in enumerate(want.tolist())), key=key)
+    kept = simhash.representatives(rows).collect()
+    assert len(kept) == len(set(want.tolist()))
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(x for x in least.values() if x is not None)
+
+
 def test_wide_codes():
     r = random.Random(3)
     for text in [None, "", "one", "a b c d e f", " ".join(r.choice("abcdefgh") for _ in range(90))]:
