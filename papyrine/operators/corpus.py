@@ -215,10 +215,16 @@ def kept_pages(sha: Column, pages: Column, limit: Column) -> Column:
 
 
 def dev_test(rows: DataFrame, group: str, key: str, share: float = 0.3) -> DataFrame:
-    """WN-10: the least hashes of a group, a rounded share of it (half to even), are dev."""
-    rn = F.row_number().over(W.partitionBy(group).orderBy(F.sha1(key), key))
-    n = F.bround(share * F.count(F.lit(1)).over(W.partitionBy(group)), 0)
-    return rows.withColumn("split", F.when(rn <= n, "dev").otherwise("test"))
+    """WN-10: the least hashes of a group, a rounded share of it (half to even), are dev. A group meets in one place only as a table
+    of its counts by the first 16 bits of the hash; rows are ranked within those."""
+    named = rows.select("*", F.struct(F.col(group).alias("g"), F.substring(F.sha1(key), 1, 4).alias("bits")).alias("_place"))
+    counts = named.groupBy(F.col("_place").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    w = W.partitionBy("_of.g")
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_of.bits").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_of", before.alias("_before"), F.bround(share * F.sum("_n").over(w), 0).alias("_dev"))
+    own = F.row_number().over(W.partitionBy("_place").orderBy(F.sha1(key), key))
+    ranked = named.withColumn("_own", own).join(counts, F.col("_place").eqNullSafe(F.col("_of")))
+    return ranked.withColumn("split", F.when(F.col("_before") + F.col("_own") <= F.col("_dev"), "dev").otherwise("test")).drop("_place", "_own", "_of", "_before", "_dev")
 
 
 def greedy_caps(rows: DataFrame, outer: str, inner: str, per_inner: int, per_outer: int, key: str) -> DataFrame:
