@@ -73,7 +73,7 @@ def language(t: Tables) -> DataFrame:
 @query("TXT-08", f"""SELECT doc_id, round(CASE WHEN vi AND n >= 3 THEN CASE WHEN n >= 20 AND NOT dots THEN greatest(share, 0.5) ELSE share END ELSE 0.0 END, 6) AS dropout FROM (
   SELECT doc_id, vi, n, dots, (len(list_filter(w, lambda t: NOT (upper(t) = t AND lower(t) <> t) AND NOT regexp_matches(t, '{tx.VOWEL}')))
     + CASE WHEN len(list_filter(w, lambda t: upper(t) = t AND lower(t) <> t AND length(t) >= 2 AND regexp_matches(t, '{tx.VOWEL}'))) >= 3
-      THEN len(list_filter(w, lambda t: upper(t) = t AND lower(t) <> t AND length(t) >= 2 AND NOT regexp_matches(t, '{tx.VOWEL}') AND NOT list_contains({tx.VI_ABBREVIATIONS!r}, t))) ELSE 0 END) / n AS share
+      THEN len(list_filter(w, lambda t: upper(t) = t AND lower(t) <> t AND length(t) >= 2 AND NOT regexp_matches(t, '{tx.VOWEL}') AND NOT list_contains({list(tx.VI_ABBREVIATIONS)!r}, t))) ELSE 0 END) / n AS share
   FROM (SELECT doc_id, {LOOKS_VI} AS vi, regexp_extract_all(text, '{tx.WORD}') AS w, len(regexp_extract_all(text, '{tx.WORD}')) AS n, regexp_matches(text, '[\\x{{1EA0}}-\\x{{1EF9}}]') AS dots FROM documents))""")
 def dropout(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.round(tx.dropout_ratio(F.col("text")), 6).alias("dropout"))
@@ -84,7 +84,7 @@ FROM (SELECT *, CASE WHEN vi > 0 AND en > 0 THEN greatest(0.0, latin - vi) ELSE
   SELECT doc_id, cjk, latin, CASE WHEN cjk > 0 AND kana >= 0.05 * cjk THEN 2.0 * cjk ELSE 0.0 END AS ja, CASE WHEN vl >= 0.02 * latin THEN vl / 0.1::DOUBLE ELSE 0.0 END AS vi,
     CASE WHEN nw > 0 AND ne >= 0.02 * nw THEN CAST(latin AS DOUBLE) ELSE 0.0 END AS en FROM (
     SELECT doc_id, {n(r'[\x{3040}-\x{9FFF}]')} AS cjk, {n(r'[\x{3040}-\x{30FF}]')} AS kana, len(regexp_extract_all(regexp_replace(lower(text), '[^\\x{{0000}}-\\x{{2E7F}}]', '', 'g'), '\\p{{L}}')) AS latin,
-      len(regexp_extract_all(lower(text), '[{tx.VI_ONLY}]')) AS vl, len(regexp_extract_all(lower(text), '[a-z]+')) AS nw, len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: list_contains({tx.EN_WORDS!r}, w))) AS ne FROM documents)))""")
+      len(regexp_extract_all(lower(text), '[{tx.VI_ONLY}]')) AS vl, len(regexp_extract_all(lower(text), '[a-z]+')) AS nw, len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: list_contains({list(tx.EN_WORDS)!r}, w))) AS ne FROM documents)))""")
 def confirmed(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", tx.confirmed_language(F.col("text")).alias("language"))
 
