@@ -35,7 +35,7 @@ def sample(rows: DataFrame, per_category: int, key: str = "path") -> DataFrame:
 
 def scored(rows: DataFrame) -> DataFrame:
     """MT-10, MT-11: rows (truth, output, error, ...) with the text metrics; a failed document's output is empty."""
-    return rows.withColumns(metrics.document_scores(F.coalesce("truth", F.lit("")), F.when(F.col("error").isNull(), F.coalesce("output", F.lit(""))).otherwise("")))
+    return metrics.scored(rows, F.coalesce("truth", F.lit("")), F.when(F.col("error").isNull(), F.coalesce("output", F.lit(""))).otherwise(""))
 
 
 def rescored(saved: DataFrame, truth: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def compared(reports: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 def line_scores(lines: DataFrame, keys: list[str]) -> DataFrame:
     """AG-13: lines (ref, hyp) to micro CER, exact lines, and recall of Vietnamese letters as bags of the whole set."""
     letter = F.lit(f"[{tx.TONED_1}{tx.TONED_2}{tx.VI_MARKS}]")
-    base = lines.groupBy(*keys).agg((F.sum(F.levenshtein("ref", "hyp")) / F.sum(F.length("ref"))).alias("cer"), F.avg((F.col("ref") == F.col("hyp")).cast("double")).alias("line_accuracy"), F.count(F.lit(1)).alias("lines"))
+    base = lines.withColumn("_d", metrics.levenshtein(F.col("ref"), F.col("hyp"))).groupBy(*keys).agg((F.sum("_d") / F.sum(F.length("ref"))).alias("cer"), F.avg((F.col("ref") == F.col("hyp")).cast("double")).alias("line_accuracy"), F.count(F.lit(1)).alias("lines"))
     bag = lambda c, n: lines.select(*keys, F.explode(F.regexp_extract_all(c, letter, F.lit(0))).alias("ch")).groupBy(*keys, "ch").agg(F.count(F.lit(1)).alias(n))
     recall = bag("ref", "r").join(bag("hyp", "h"), [*keys, "ch"], "left").groupBy(*keys).agg((F.sum(F.least("r", F.coalesce("h", F.lit(0)))) / F.sum("r")).alias("vietnamese_letter_recall"))
     return base.join(recall, keys, "left")
