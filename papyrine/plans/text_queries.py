@@ -107,7 +107,7 @@ def recall(t: Tables) -> DataFrame:
     w = lambda c: F.regexp_extract_all(c, F.lit("[a-z]+"), F.lit(0))
     rows = t.documents.select("doc_id", w(F.lower("text")).alias("a"), w(F.replace(F.lower("text"), F.lit(" th"), F.lit(" x"))).alias("b"))
     share = F.when(F.col("reference") == 0, 1.0).otherwise(F.col("common") / F.greatest("reference", F.lit(1)))
-    return metrics.bag_counts(rows, ["doc_id"], "a", "b").select("doc_id", F.round(share, 6).alias("recall"))
+    return rows.select("doc_id", metrics.bag_counts(F.col("a"), F.col("b")).alias("n")).select("doc_id", "n.*").select("doc_id", F.round(share, 6).alias("recall"))
 
 
 @query("TXT-13", rf"SELECT conv_id, turn, regexp_matches(line, '{tx.BULLET}') AS item, regexp_replace(line, '{tx.BULLET}', '') AS body FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '- ' WHEN 1 THEN '2. ' WHEN 2 THEN 'b) ' ELSE '' END || text AS line FROM conversations)")
