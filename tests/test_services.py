@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from papyrine.__main__ import main
 from papyrine.engine import Engine, Systems
-from papyrine.operators import corpus, handlers
+from papyrine.operators import corpus, execute, handlers
 from papyrine.session import scratch
 from papyrine.sources import writers
 
@@ -110,3 +110,11 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["extract", str(folder), str(tmp_path / "made")]) == 0 and spark.read.parquet(str(tmp_path / "made" / "markdown")).count() >= 2
     with pytest.raises(ValueError, match="no system"):
         Systems().run("none", spark.range(1), spark.range(1))
+
+
+def test_engines_get_pieces_of_a_batch(spark):
+    sizes = lambda batch: batch.assign(content=str(batch["text_layer"].str.len().sum()), confidence=None)[["region_id", "content", "confidence"]]
+    tasks = spark.range(0, 60, 1, 1).select(F.col("id").cast("string").alias("region_id"), F.repeat(F.lit("x"), F.when(F.col("id") == 7, 3_000_000).otherwise(100_000)).alias("text_layer"))
+    got = {r.region_id: r for r in execute.run_engine(tasks, sizes).collect()}
+    assert len(got) == 60 and got["7"].content == "3000000" and got["7"].confidence is None
+    assert all(int(r.content) <= 1 << 20 for k, r in got.items() if k != "7")

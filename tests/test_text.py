@@ -1,7 +1,12 @@
+import unicodedata
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from papyrine.functions import text as tx
+from papyrine.functions.udf import PIECE, each, pieces
 
 
 def value(spark, column, *rows):
@@ -75,3 +80,19 @@ def test_special_and_recall(spark):
 def test_fonts_and_json(spark):
     assert value(spark, tx.is_legacy_font(T), "ABCDEE+.VnTime", "VNI-Times", "Arial") == [True, True, False]
     assert value(spark, F.variant_get(tx.first_json(T), "$.a", "int"), '<think>{x}</think>```json\n{"a": 3}\n```', "none") == [3, None]
+
+
+def streamed(spark, column):
+    """Whether the column's Python takes batches piece by piece."""
+    plan = spark.createDataFrame([("a",)], "t string").select(column)._jdf.queryExecution().executedPlan().toString()
+    return f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}" in plan and f", {PythonEvalType.SQL_SCALAR_PANDAS_UDF}" not in plan
+
+
+def test_batches_in_pieces(spark):
+    texts = ["", "é" * 300_000, None, "x" * (3 * PIECE), *["e\u0301" * 5_000] * 400, "ﬁ①", "end"]
+    cut = list(pieces(pa.array(texts)))
+    assert [x for p in cut for x in p.to_pylist()] == texts and all(len(p) == 1 or p.nbytes <= PIECE for p in cut) and len(cut) > 3
+    assert [len(p) for p in pieces(pa.record_batch({"a": pa.array([], pa.string())}))] == [0]
+    for form, function in (("NFC", tx.nfc), ("NFKC", tx.nfkc)):
+        assert value(spark, function(T), *texts) == [x and unicodedata.normalize(form, x) for x in texts] and streamed(spark, function(T))
+    assert value(spark, each("array<struct<n:int>>")(lambda x: None if x is None else [{"n": len(x)}] * len(x))(T), "ab", None, "") == [[(2,), (2,)], None, []]
