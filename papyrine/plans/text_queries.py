@@ -156,7 +156,8 @@ def _type_sql(country: str) -> str:
 
 @query("TXT-22", f"SELECT doc_id, {_type_sql('VN')} AS vn, {_type_sql('JP')} AS jp FROM (SELECT doc_id, coalesce(lower(nfc_normalize(text)), '') AS s FROM documents)")
 def document_types(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", corpus.doc_type(tx.nfc(F.col("text")), "VN").alias("vn"), corpus.doc_type(tx.nfc(F.col("text")), "JP").alias("jp"))
+    text = tx.nfc(F.col("text"))  # one column, so that Python makes it once
+    return t.documents.select("doc_id", corpus.doc_type(text, "VN").alias("vn"), corpus.doc_type(text, "JP").alias("jp"))
 
 
 @query("TXT-23", r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[^/]*//(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '') AS host FROM pages")

@@ -1,12 +1,16 @@
+import subprocess
+import sys
 import unicodedata
 
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
 from papyrine.functions import text as tx
 from papyrine.functions.udf import PIECE, each, pieces
+from papyrine.plans.registry import queries
 
 
 def value(spark, column, *rows):
@@ -96,3 +100,16 @@ def test_batches_in_pieces(spark):
     for form, function in (("NFC", tx.nfc), ("NFKC", tx.nfkc)):
         assert value(spark, function(T), *texts) == [x and unicodedata.normalize(form, x) for x in texts] and streamed(spark, function(T))
     assert value(spark, each("array<struct<n:int>>")(lambda x: None if x is None else [{"n": len(x)}] * len(x))(T), "ab", None, "") == [[(2,), (2,)], None, []]
+
+
+def test_workers_need_not_find_the_engine():
+    says = "import pickle, sys, pyarrow as pa; print([len(x) for x in pickle.load(sys.stdin.buffer)(pa.array(['abc'] * 5), 16)])"
+    assert subprocess.run([sys.executable, "-I", "-c", says], input=cloudpickle.dumps(pieces), capture_output=True, check=True).stdout == b"[2, 1, 2]\n"
+
+
+def test_document_types_normalise_once(spark, tmp_path):
+    spark.createDataFrame([(1, "BA\u0301O CA\u0301O TA\u0300I CHI\u0301NH"), (2, "決算短信"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries()["TXT-22"](spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {(1, "financial_statement", "other"), (2, "other", "earnings_summary"), (3, "other", "other")}
+    nodes = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "ArrowEvalPython" in x]
+    assert len(nodes) == 1 and nodes[0].count("pythonUDF") == 1
