@@ -102,6 +102,13 @@ def test_batches_in_pieces(spark):
     assert value(spark, each("array<struct<n:int>>")(lambda x: None if x is None else [{"n": len(x)}] * len(x))(T), "ab", None, "") == [[(2,), (2,)], None, []]
 
 
+def test_folding_in_pieces(spark):
+    texts = ["Đại hội / Ｆ①", None, "", "ガ" * 400_000, *["Báo cáo! "] * 200_000]
+    got = value(spark, tx.fold(T), *texts)
+    assert got[:4] == ["dai-hoi/ｆ①".replace("hoi/", "hoi-/-"), None, "", "ガ" * 400_000] and set(got[4:]) == {"bao-cao"} and len(got) == len(texts)
+    assert streamed(spark, tx.fold(T))
+
+
 def test_workers_need_not_find_the_engine():
     says = "import pickle, sys, pyarrow as pa; print([len(x) for x in pickle.load(sys.stdin.buffer)(pa.array(['abc'] * 5), 16)])"
     assert subprocess.run([sys.executable, "-I", "-c", says], input=cloudpickle.dumps(pieces), capture_output=True, check=True).stdout == b"[2, 1, 2]\n"
