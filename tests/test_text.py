@@ -1,3 +1,4 @@
+import re
 import subprocess
 import sys
 import unicodedata
@@ -115,6 +116,38 @@ def test_plain_text_in_pieces(spark):
     assert got[:4] == ["Tiếng Việt", None, "", "漢字" * 300_000] and got[4:] == ["é b"] * 100_000 and streamed(spark, tx.markdown_to_plain(T))
 
 
+def test_composed_texts_stay_out_of_python(spark, monkeypatch, tmp_path):
+    def recorded(returns):
+        def wrap(function):
+            def note(x):
+                with open(f"{tmp_path}/seen", "a") as seen:
+                    seen.write(f"{x}\n")
+                return function(x)
+
+            return each(returns)(note)
+
+        return wrap
+
+    monkeypatch.setattr(tx, "each", recorded)
+    texts = ["# Größe <b>Việt</b>", "漢字カナ、がぎ", "한글 Ελλά", None, "", "a → 1", "*e\u0301*", "a<\u0338b> | c", "😀"]
+    assert value(spark, tx.markdown_to_plain(T), *texts) == ["Größe Việt", "漢字カナ、がぎ", "한글 Ελλά", None, "", "a → 1", "é", "a c", "😀"]
+    assert {x for x in (tmp_path / "seen").read_text().split("\n") if x} <= {"None", "e\u0301", "a    c", "😀"}
+
+
+def test_composed_characters(spark):
+    signs = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    seconds = {chr(int(x, 16)) for c in signs if not unicodedata.decomposition(c).startswith("<") for x in unicodedata.decomposition(c).split()[1:]}
+    seconds |= {chr(c) for c in range(0x1100, 0x1200)}  # Hangul is composed by rule
+    for form, function in (("NFC", tx.nfc), ("NFKC", tx.nfkc)):
+        ranges = [tuple(int(x, 16) for x in found) for part in tx.COMPOSED[form] for found in re.findall(r"\\x\{(\w+)\}-\\x\{(\w+)\}", part)]
+        assert len(ranges) == sum(part.count("-") for part in tx.COMPOSED[form])
+        inside = [chr(c) for a, b in ranges for c in range(a, b + 1)]
+        assert not [c for c in inside if unicodedata.combining(c) or c in seconds or unicodedata.normalize(form, c) != c or unicodedata.category(c) == "Cn"]
+        edges = [chr(c) for a, b in ranges for c in (a - 1, a, b, b + 1) if c >= 0 and not 0xD800 <= c < 0xE000]
+        texts = [x for c in [*edges, *sorted(seconds), *"ﬁ①Å〈豈"] for x in (c, f"e{c}", f"a\u0301{c}漢")]
+        assert value(spark, function(T), *texts) == [unicodedata.normalize(form, x) for x in texts]
+
+
 def test_workers_need_not_find_the_engine():
     says = "import pickle, sys, pyarrow as pa; print([len(x) for x in pickle.load(sys.stdin.buffer)(pa.array(['abc'] * 5), 16)])"
     assert subprocess.run([sys.executable, "-I", "-c", says], input=cloudpickle.dumps(pieces), capture_output=True, check=True).stdout == b"[2, 1, 2]\n"
